@@ -16,44 +16,52 @@ sizes or parity bits already rule a link out are left; both tests hold for every
 
 from __future__ import annotations
 
-from collections import OrderedDict
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from kontolith.llm.common import BoundedCache, as_bytes, cut, drop_cut, map_batches, mix64
+from kontolith.llm.common import BoundedCache, cut, drop_cut, map_batches, mix64
 from kontolith.llm.components import connected_components
+from kontolith.llm.words import WordHasher
 
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
 _ALL = (1 << 64) - 1
 
 
-def _hasher() -> BoundedCache:
-    return BoundedCache(lambda w: xxhash.xxh3_64_digest(w))
-
-
-def shingle_set(text: bytes | None, width: int, words: BoundedCache) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's ``width``-word shingles; the whole sequence if it has fewer words.
+def shingle_sets(column: pa.Array, width: int, hasher: WordHasher) -> list[np.ndarray]:
+    """Per row the sorted distinct 64-bit hashes of its ``width``-word shingles; the whole sequence if it has fewer words.
 
     Words are runs without ASCII white space, A-Z lower-cased. Null or wordless texts give an empty set.
     """
-    got = text.lower().split() if text else []
-    n = len(got)
-    if not n:
-        return np.empty(0, np.uint64)
-    w = np.frombuffer(b"".join(map(words.__getitem__, got)), np.uint64)
-    if n < width:
-        return mix64(np.array([(int((w * _MULT[:n]).sum(dtype=np.uint64)) + n * int(_MULT[7])) & _ALL], np.uint64))
-    h = w[: n - width + 1] * _MULT[0]
-    for i in range(1, width):
-        h = h + w[i : n - width + 1 + i] * _MULT[i]
-    return np.unique(mix64(h))
+    w, counts = hasher(column)
+    h = np.zeros(len(w), np.uint64)
+    for i in range(width):
+        h[: len(w) - i] += w[i:] * _MULT[i]
+    h = mix64(h)
+    out, at = [], 0
+    for n in counts.tolist():
+        if n >= width:
+            s = np.sort(h[at : at + n - width + 1])
+            out.append(s[np.concatenate(([True], s[1:] != s[:-1]))])
+        elif n:
+            short = w[at : at + n] * _MULT[:n]
+            out.append(mix64(np.array([(int(short.sum(dtype=np.uint64)) + n * int(_MULT[7])) & _ALL], np.uint64)))
+        else:
+            out.append(np.empty(0, np.uint64))
+        at += n
+    return out
+
+
+def _parts(batch: pa.RecordBatch, rows: int = 500):
+    """A batch in slices, so that few sets are held at once."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
 
 
 @lru_cache(maxsize=16)
@@ -67,13 +75,14 @@ def band_ends(percent: int, upto: int = 1 << 40) -> tuple[int, ...]:
 
 
 @lru_cache(maxsize=4096)
-def _instance(band: int, percent: int) -> tuple[int, int, np.ndarray]:
-    """Halves ``2 * n1``, spare partitions and the inner limits for sets of ``band`` and ``band + 1``."""
+def _instance(band: int, percent: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Spare partitions, the inner limits of the ``2 * n1`` halves and a tag for each, for sets of ``band`` and ``band + 1``."""
     ends = band_ends(percent)
     k = (ends[band] + ends[band + 1]) * (100 - percent) // (100 + percent)
     spare = 0 if k < 2 else 1 + k // 40
     halves = 2 * (k // 2 + 1 + spare)
-    return halves, spare, np.array([(j << 64) // halves for j in range(1, halves)], dtype=np.uint64)
+    limits = np.array([(j << 64) // halves for j in range(1, halves)], dtype=np.uint64)
+    return spare, limits, mix64(np.arange(1, halves + 1, dtype=np.uint64) * _MULT[4] + np.uint64((band + 1) * int(_MULT[5]) & _ALL))
 
 
 def signatures(s: np.ndarray, percent: int) -> np.ndarray:
@@ -81,17 +90,19 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
     n = len(s)
     if not n:
         return np.empty(0, np.int64)
-    band = int(np.searchsorted(np.array(band_ends(percent)[:400]), n))
-    run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(s ^ _MULT[6]), dtype=np.uint64)))
+    band = bisect_left(band_ends(percent), n)
+    run = np.empty(n + 1, np.uint64)
+    run[0] = 0
+    np.cumsum(s, out=run[1:])
     out = []
     for instance in (band - 1, band) if band else (band,):
-        halves, spare, limits = _instance(instance, percent)
-        at = np.concatenate(([0], np.searchsorted(s, limits), [n]))
-        held = np.diff(at)
-        sums = run[at[1:]] - run[at[:-1]]
-        sig = mix64(sums + (np.arange(halves, dtype=np.uint64) + np.uint64(1)) * _MULT[4] + np.uint64((instance + 1) * int(_MULT[5]) & _ALL))
-        thin = held < 2
-        if spare and (thin[0::2] | thin[1::2]).sum() <= spare:
+        spare, limits, tags = _instance(instance, percent)
+        at = np.empty(len(limits) + 2, np.int64)
+        at[0], at[1:-1], at[-1] = 0, np.searchsorted(s, limits), n
+        sums = run[at]
+        sig = (sums[1:] - sums[:-1]) * _MULT[6] + tags
+        thin = at[1:] - at[:-1] < 2
+        if spare and np.count_nonzero(thin[0::2] | thin[1::2]) <= spare:
             sig = sig[~thin]
         out.append(sig)
     return np.concatenate(out).view(np.int64)
@@ -107,10 +118,14 @@ def set_keys(docs: DataFrame, width: int = 4) -> DataFrame:
     """``(doc_id, n_shingles, key_a, key_b, parity)`` per row: the set's size, a 128-bit key of its content, its parities."""
 
     def make():
-        words = _hasher()
+        words = WordHasher(lower=True)
 
-        def step(batch: pa.RecordBatch):
-            sets = [shingle_set(t, width, words) for t in as_bytes(batch.column(1))]
+        def step(whole: pa.RecordBatch):
+            for batch in _parts(whole):
+                yield one(batch)
+
+        def one(batch: pa.RecordBatch):
+            sets = shingle_sets(batch.column(1), width, words)
             n = [len(s) for s in sets]
             a = [int(s.sum(dtype=np.uint64).astype(np.int64)) for s in sets]
             b = [int(mix64(s ^ _MULT[5]).sum(dtype=np.uint64).astype(np.int64)) for s in sets]
@@ -133,60 +148,83 @@ def _signature_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """``(sig, doc)``: all signatures, of one row per content key and task (the others of that content are copies)."""
 
     def make():
-        words, seen = _hasher(), BoundedCache(lambda _: True, 1_000_000)
-
-        def step(batch: pa.RecordBatch):
-            sigs, ids, held = [], [], 0
-            for doc, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                s = shingle_set(text, width, words)
-                if doc is None or not len(s):
-                    continue
-                key = (len(s), int(s.sum(dtype=np.uint64)), int(mix64(s ^ _MULT[5]).sum(dtype=np.uint64)))
-                if key in seen:
-                    continue
-                seen[key]
-                own = signatures(s, percent)
-                sigs.append(own)
-                ids.append(np.full(len(own), doc, np.int64))
-                held += len(own)
-                if held > 200_000:
+        words, seen = WordHasher(lower=True), BoundedCache(lambda _: True, 1_000_000)
+
+        def step(whole: pa.RecordBatch):
+            for batch in _parts(whole):
+                sigs, ids = [], []
+                for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), width, words), strict=True):
+                    if doc is None or not len(s):
+                        continue
+                    key = (len(s), int(s.sum(dtype=np.uint64)), int(mix64(s ^ _MULT[5]).sum(dtype=np.uint64)))
+                    if key in seen:
+                        continue
+                    seen[key]
+                    own = signatures(s, percent)
+                    sigs.append(own)
+                    ids.append(np.full(len(own), doc, np.int64))
+                if sigs:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(ids))], ["sig", "doc"])
-                    sigs, ids, held = [], [], 0
-            if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(ids))], ["sig", "doc"])
 
         return step
 
     return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), make, "sig long, doc long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of the pairs ``(a, b)`` those whose exact sets reach the threshold: 100 * intersection >= percent * union."""
+#: Ids that are sent to all tasks at most (8 bytes each) to pick texts before a shuffle; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+
+
+def _sets_of(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """``(id, s)``: the exact sets of the documents ``ids``, as a table."""
+    ids = cut(ids.distinct(), "ids")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("t"))
-    with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("t").alias("text_b")), "b")
-    with_both = with_b.join(texts.select(F.col("id").alias("a"), F.col("t").alias("text_a")), "a")
+    few = ids.count() <= BROADCAST_IDS
 
     def make():
-        words, last = _hasher(), OrderedDict()
+        words = WordHasher(lower=True)
+
+        def step(whole: pa.RecordBatch):
+            for batch in _parts(whole):
+                sets = shingle_sets(batch.column(1), width, words)
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                values = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["id", "s"])
+
+        return step
 
-        def of(text: bytes | None) -> np.ndarray:
-            if text not in last:
-                last[text] = shingle_set(text, width, words)
-                if len(last) > 64:
-                    last.popitem(last=False)
-            return last[text]
+    out = cut(map_batches(texts.join(F.broadcast(ids) if few else ids, "id", "left_semi"), make, "id long, s array<long>"), "exact-sets")
+    drop_cut(ids)
+    return out
 
+
+def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Of the pairs ``(a, b)`` those whose exact sets reach the threshold: 100 * intersection >= percent * union; a table."""
+    pairs = cut(pairs, "pairs")
+    sets = _sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), docs, width)
+    with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("set_b")), "b")
+    with_both = with_b.join(sets.select(F.col("id").alias("a"), F.col("s").alias("set_a")), "a")
+
+    def make():
         def step(batch: pa.RecordBatch):
             keep = []
-            for ta, tb in zip(as_bytes(batch.column(2)), as_bytes(batch.column(3)), strict=True):
-                sa, sb = of(ta), of(tb)
-                common = len(np.intersect1d(sa, sb, assume_unique=True)) if len(sa) and len(sb) else 0
+            for k in range(batch.num_rows):
+                sa, sb = (batch.column(i)[k].values.to_numpy().view(np.uint64) for i in (2, 3))
+                if len(sa) > len(sb):
+                    sa, sb = sb, sa
+                common = 0
+                if len(sa):
+                    at = np.searchsorted(sb, sa)
+                    common = int((sb[np.minimum(at, len(sb) - 1)] == sa).sum())
                 keep.append(bool(common) and 100 * common >= percent * (len(sa) + len(sb) - common))
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         return step
 
-    return map_batches(with_both.select("a", "b", "text_a", "text_b"), make, "a long, b long")
+    out = cut(map_batches(with_both.select("a", "b", "set_a", "set_b"), make, "a long, b long"), "links")
+    drop_cut(sets)
+    drop_cut(pairs)
+    return out
 
 
 def jaccard_classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
@@ -213,7 +251,7 @@ def jaccard_classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     drop_cut(shared)
     firsts = members.groupBy("sig").agg(F.min(F.struct("doc", "f")).alias("p"), F.max("doc").alias("z")).where("p.doc <> z").select("sig", F.col("p.doc").alias("a"), F.col("p.f").alias("g"))
     star = members.join(firsts, "sig").where(F.col("doc") != F.col("a")).where(_may_link("f", "g", percent)).select("a", F.col("doc").alias("b")).distinct()
-    links = cut(verified(star, docs, width, percent), "links")
+    links = verified(star, docs, width, percent)
     known = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(same.select("doc_id", "rep"))
     labels = connected_components(known)
     lab = members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("sig", "doc", "f", F.coalesce("component", "doc").alias("c"))
@@ -222,7 +260,7 @@ def jaccard_classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     few = open_.where("c <> most").select("sig", F.col("doc").alias("x"), F.col("c").alias("cx"), "f")
     cross = few.join(open_.select("sig", F.col("doc").alias("y"), F.col("c").alias("cy"), F.col("f").alias("g")), "sig").where((F.col("cx") != F.col("cy")) & _may_link("f", "g", percent))
     rest = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = cut(verified(rest, docs, width, percent), "links")
+    more = verified(rest, docs, width, percent)
     final = connected_components(known.union(more.select("a", "b"))) if more.limit(1).count() else labels
     out = slim.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     for t in (members, open_):
