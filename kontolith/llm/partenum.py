@@ -238,33 +238,41 @@ def jaccard_classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     slim = cut(set_keys(docs, width), "sets")
-    copies = slim.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "key_a", "key_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1")
-    same = cut(slim.join(copies.drop("n"), ["n_shingles", "key_a", "key_b"]).where("doc_id <> rep").select("doc_id", "rep").distinct(), "copies")
+    real = slim.where("n_shingles > 0 and doc_id is not null")
+    content = ["n_shingles", "key_a", "key_b"]
+    copies = real.groupBy(*content).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
+    by_rep = cut(real.join(copies, content).where("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("rep"), F.collect_set("rep").alias("reps"), F.count("*").alias("n")), "copies")
+    same = by_rep.select("doc_id", F.explode("reps").alias("rep"))
+    # documents of which every row copies another need no signatures
+    idle = cut(by_rep.join(real.groupBy("doc_id").agg(F.count("*").alias("all")), "doc_id").where("n = all").select("doc_id", "rep"), "idle")
+    few = idle.count() <= BROADCAST_IDS
+    source = docs.join(F.broadcast(idle.select("doc_id")), "doc_id", "left_anti") if few else docs
     bucket = Window.partitionBy("sig")
-    rows = _signature_rows(docs, width, percent).withColumn("a", F.min("doc").over(bucket)).withColumn("z", F.max("doc").over(bucket))
-    shared = cut(rows.where("a <> z").select("sig", "doc").distinct(), "buckets")
-    to_rep = F.coalesce("rep", "doc")
+    rows = _signature_rows(source, width, percent)
+    if not few:
+        rows = rows.join(idle.withColumnRenamed("doc_id", "doc"), "doc", "left").select("sig", F.coalesce("rep", "doc").alias("doc")).distinct()
+    rows = rows.withColumn("a", F.min("doc").over(bucket)).withColumn("z", F.max("doc").over(bucket))
+    members = cut(rows.where("a <> z").select("sig", "doc", "a"), "members")
     parity = F.struct(F.col("n_shingles").alias("n"), *(F.col("parity")[i].alias(f"s{i}") for i in range(8)))
-    marks = slim.where("n_shingles > 0 and doc_id is not null").select(F.col("doc_id").alias("doc"), parity.alias("f"))
-    classed = shared.join(same.groupBy(F.col("doc_id").alias("doc")).agg(F.min("rep").alias("rep")), "doc", "left").select("sig", to_rep.alias("doc")).distinct()
-    members = cut(classed.join(marks.distinct(), "doc"), "members")
-    drop_cut(shared)
-    firsts = members.groupBy("sig").agg(F.min(F.struct("doc", "f")).alias("p"), F.max("doc").alias("z")).where("p.doc <> z").select("sig", F.col("p.doc").alias("a"), F.col("p.f").alias("g"))
-    star = members.join(firsts, "sig").where(F.col("doc") != F.col("a")).where(_may_link("f", "g", percent)).select("a", F.col("doc").alias("b")).distinct()
+    marks = real.select(F.col("doc_id").alias("doc"), parity.alias("f"))
+    firsts = members.where("doc <> a").select("a", F.col("doc").alias("b")).distinct()
+    marked = firsts.join(marks.select(F.col("doc").alias("b"), "f"), "b").join(marks.select(F.col("doc").alias("a"), F.col("f").alias("g")), "a")
+    star = cut(marked.where(_may_link("f", "g", percent)).select("a", "b").distinct(), "star")
     links = verified(star, docs, width, percent)
-    known = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(same.select("doc_id", "rep"))
+    known = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(same)
     labels = connected_components(known)
-    lab = members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("sig", "doc", "f", F.coalesce("component", "doc").alias("c"))
-    mode = lab.groupBy("sig", "c").agg(F.count("*").alias("n")).groupBy("sig").agg(F.max_by("c", F.struct("n", "c")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
-    open_ = cut(lab.join(mode, "sig"), "open")
-    few = open_.where("c <> most").select("sig", F.col("doc").alias("x"), F.col("c").alias("cx"), "f")
-    cross = few.join(open_.select("sig", F.col("doc").alias("y"), F.col("c").alias("cy"), F.col("f").alias("g")), "sig").where((F.col("cx") != F.col("cy")) & _may_link("f", "g", percent))
+    lab = members.select("sig", "doc").join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("sig", "doc", F.coalesce("component", "doc").alias("c"))
+    split = lab.withColumn("low", F.min("c").over(bucket)).withColumn("high", F.max("c").over(bucket)).where("low <> high").select("sig", "doc", "c")
+    open_ = cut(split.join(marks, "doc"), "open")
+    drop_cut(members)
+    most = open_.groupBy("sig", "c").agg(F.count("*").alias("n")).groupBy("sig").agg(F.max_by("c", F.struct("n", "c")).alias("most"))
+    small = open_.join(most, "sig").where("c <> most").select("sig", F.col("doc").alias("x"), F.col("c").alias("cx"), "f")
+    cross = small.join(open_.select("sig", F.col("doc").alias("y"), F.col("c").alias("cy"), F.col("f").alias("g")), "sig").where((F.col("cx") != F.col("cy")) & _may_link("f", "g", percent))
     rest = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     more = verified(rest, docs, width, percent)
     final = connected_components(known.union(more.select("a", "b"))) if more.limit(1).count() else labels
     out = slim.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    for t in (members, open_):
-        drop_cut(t)
+    drop_cut(open_)
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
