@@ -108,14 +108,17 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out).view(np.int64)
 
 
-def _parity(s: np.ndarray) -> list[int]:
-    """Parities of the set's element counts in 512 hash buckets, as 8 longs: two sets differ in no more bits than elements."""
-    odd = (np.bincount((s & np.uint64(511)).astype(np.int64), minlength=512) & 1).astype(np.uint8)
+def _parity(s: np.ndarray, bits: int = 512) -> list[int]:
+    """Parities of the set's element counts in hash buckets, as longs: two sets differ in no more bits than elements."""
+    odd = (np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64).tolist()
 
 
 def set_keys(docs: DataFrame, width: int = 4) -> DataFrame:
-    """``(doc_id, n_shingles, key_a, key_b, parity)`` per row: the set's size, a 128-bit key of its content, its parities."""
+    """``(doc_id, n_shingles, key_a, key_b, parity, wide)`` per row: the set's size, a 128-bit key of its content, its parities.
+
+    ``parity`` has 512 bits; ``wide``, for sets over 256 elements, at least two bits an element.
+    """
 
     def make():
         words = WordHasher(lower=True)
@@ -129,12 +132,44 @@ def set_keys(docs: DataFrame, width: int = 4) -> DataFrame:
             n = [len(s) for s in sets]
             a = [int(s.sum(dtype=np.uint64).astype(np.int64)) for s in sets]
             b = [int(mix64(s ^ _MULT[5]).sum(dtype=np.uint64).astype(np.int64)) for s in sets]
-            cols = [batch.column(0), *(pa.array(x, pa.int64()) for x in (n, a, b)), pa.array(map(_parity, sets), pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "key_a", "key_b", "parity"])
+            wide = [_parity(s, 1 << (2 * len(s) - 1).bit_length()) if len(s) > 256 else None for s in sets]
+            longs = pa.list_(pa.int64())
+            cols = [batch.column(0), *(pa.array(x, pa.int64()) for x in (n, a, b)), pa.array(map(_parity, sets), longs), pa.array(wide, longs)]
+            return pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "key_a", "key_b", "parity", "wide"])
+
+        return step
+
+    schema = "doc_id long, n_shingles long, key_a long, key_b long, parity array<long>, wide array<long>"
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), make, schema)
+
+
+def _folded(x: np.ndarray, longs: int) -> np.ndarray:
+    """Parities of fewer buckets: bucket numbers modulo the smaller size."""
+    return np.bitwise_xor.reduce(x.reshape(-1, longs), axis=0)
+
+
+def _narrowed(pairs: DataFrame, slim: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` without those that the wide parities rule out."""
+    of = lambda c: slim.where("wide is not null").select(F.col("doc_id").alias(c), F.struct("n_shingles", "wide").alias(f"w{c}"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", "wa", "wb")
+
+    def make():
+        def step(batch: pa.RecordBatch):
+            keep = []
+            for k in range(batch.num_rows):
+                wa, wb = batch.column(2)[k], batch.column(3)[k]
+                if not wa.is_valid or not wb.is_valid:
+                    keep.append(True)
+                    continue
+                x, y = (w["wide"].values.to_numpy() for w in (wa, wb))
+                size = min(len(x), len(y))
+                apart = int(np.bitwise_count((_folded(x, size) ^ _folded(y, size)).view(np.uint64)).sum())
+                keep.append(apart * (100 + percent) <= (wa["n_shingles"].as_py() + wb["n_shingles"].as_py()) * (100 - percent))
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         return step
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), make, "doc_id long, n_shingles long, key_a long, key_b long, parity array<long>")
+    return map_batches(both, make, "a long, b long").distinct()
 
 
 def _may_link(f: str, g: str, percent: int):
@@ -198,9 +233,9 @@ def _sets_of(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     return out
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, slim: DataFrame, width: int, percent: int) -> DataFrame:
     """Of the pairs ``(a, b)`` those whose exact sets reach the threshold: 100 * intersection >= percent * union; a table."""
-    pairs = cut(pairs, "pairs")
+    pairs = cut(_narrowed(pairs, slim, percent), "pairs")
     sets = _sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), docs, width)
     with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("set_b")), "b")
     with_both = with_b.join(sets.select(F.col("id").alias("a"), F.col("s").alias("set_a")), "a")
@@ -258,7 +293,7 @@ def jaccard_classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     firsts = members.where("doc <> a").select("a", F.col("doc").alias("b")).distinct()
     marked = firsts.join(marks.select(F.col("doc").alias("b"), "f"), "b").join(marks.select(F.col("doc").alias("a"), F.col("f").alias("g")), "a")
     star = cut(marked.where(_may_link("f", "g", percent)).select("a", "b").distinct(), "star")
-    links = verified(star, docs, width, percent)
+    links = verified(star, docs, slim, width, percent)
     known = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(same)
     labels = connected_components(known)
     lab = members.select("sig", "doc").join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("sig", "doc", F.coalesce("component", "doc").alias("c"))
@@ -269,7 +304,7 @@ def jaccard_classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     small = open_.join(most, "sig").where("c <> most").select("sig", F.col("doc").alias("x"), F.col("c").alias("cx"), "f")
     cross = small.join(open_.select("sig", F.col("doc").alias("y"), F.col("c").alias("cy"), F.col("f").alias("g")), "sig").where((F.col("cx") != F.col("cy")) & _may_link("f", "g", percent))
     rest = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = verified(rest, docs, width, percent)
+    more = verified(rest, docs, slim, width, percent)
     final = connected_components(known.union(more.select("a", "b"))) if more.limit(1).count() else labels
     out = slim.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     drop_cut(open_)
