@@ -11,6 +11,7 @@ last, half-empty bins of all groups end up together.
 
 from __future__ import annotations
 
+import re
 import zlib
 from functools import lru_cache
 
@@ -20,29 +21,69 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kontolith.llm.common import BoundedCache, cut, drop_cut, map_batches
+from kontolith.llm.common import cut, drop_cut, map_batches
 
 #: Pieces that one task packs at most, on average.
 GROUP_PIECES = 3000
 
 
-@lru_cache(maxsize=4)
-def _word_ids(tokenizer_path: str) -> BoundedCache:
-    """Little-endian uint32 ids of a white-space-free chunk, kept for the life of a Python worker.
+#: Chunks whose ids a Python worker keeps; about 200 bytes each.
+KEPT_CHUNKS = 1_200_000
+#: Lower-case Latin words with closing punctuation: one token sequence for the word, one for the punctuation.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+([.,;:!?]*)")
 
-    The tokenizer splits at white space before merging, so a text's ids are its chunks' ids in order.
-    """
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(tokenizer_path)
-    return BoundedCache(lambda chunk: np.asarray(tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes() if chunk else b"")
+class ChunkIds:
+    """Little-endian uint32 ids of texts by their white-space-free chunks, which are kept for the life of a Python worker.
 
+    The tokenizer splits at white space before merging, so a text's ids are its chunks' ids in order. Plain words that
+    are new are encoded together and told apart by the tokens that end a word; other chunks are encoded alone.
+    """
 
-def encode_ids(text: str | None, tokenizer_path: str) -> bytes:
-    """A text's ids as little-endian uint32 bytes; null and empty texts have none."""
-    if not text:
-        return b""
-    return b"".join(map(_word_ids(tokenizer_path).__getitem__, text.replace("\n", " ").split(" ")))
+    def __init__(self, tokenizer_path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.known: dict[str, bytes] = {"": b""}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def learn(self, chunks: set[str]) -> None:
+        plain, parts = [], []
+        for c in chunks:
+            m = _PLAIN.fullmatch(c)
+            if m:
+                plain.append(c)
+                parts.append(1 + (m[1] != ""))
+            else:
+                self.known[c] = self._ids(c).tobytes()
+        for at in range(0, len(plain), 1000):
+            some = plain[at : at + 1000]
+            ids = self._ids(" ".join(some))
+            ends, last = np.flatnonzero(self.ends_word[ids]) + 1, np.cumsum(parts[at : at + 1000])
+            if len(ends) == last[-1] and ends[-1] == len(ids):
+                data, bounds = ids.tobytes(), [0, *(4 * ends[last - 1]).tolist()]
+                self.known.update(zip(some, map(data.__getitem__, map(slice, bounds, bounds[1:])), strict=False))
+            else:  # the vocabulary has no such word ends
+                self.known.update((c, self._ids(c).tobytes()) for c in some)
+
+    def of_texts(self, texts: list[str | None]) -> list[bytes]:
+        split = [(t if "Σ" in t else t.lower()).replace("\n", " ").split(" ") if t else [] for t in texts]
+        needed = set().union(*split)
+        new = needed.difference(self.known)
+        if len(self.known) + len(new) > KEPT_CHUNKS:
+            self.known, new = {"": b""}, needed - {""}
+        self.learn(new)
+        return [b"".join(map(self.known.__getitem__, chunks)) for chunks in split]
+
+
+@lru_cache(maxsize=2)
+def chunk_ids(tokenizer_path: str) -> ChunkIds:
+    return ChunkIds(tokenizer_path)
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, size: int = 4096, with_ids: bool = False) -> DataFrame:
@@ -52,11 +93,15 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, size: in
     def make():
         salt = 0
 
-        def step(batch: pa.RecordBatch):
+        def step(whole: pa.RecordBatch):
+            for at in range(0, whole.num_rows, 200):
+                yield one(whole.slice(at, 200))
+
+        def one(batch: pa.RecordBatch):
             nonlocal salt
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode_ids(text, tokenizer_path) + tail
+            for doc, own_ids in zip(batch.column(0).to_pylist(), chunk_ids(tokenizer_path).of_texts(batch.column(1).to_pylist()), strict=True):
+                ids = own_ids + tail
                 for piece, at in enumerate(range(0, len(ids), step_bytes)):
                     own = ids[at : at + step_bytes]
                     salt += 1
