@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kontolith.llm import embedding_forest, line_spread, packing, page_diff, partenum, pseudo_likelihood, quality_rules, toxicity, warc
+from kontolith.llm import embedding_forest, line_spread, packing, page_diff, partenum, pseudo_likelihood, quality_rules, sentencepiece_lattice, toxicity, warc
 from kontolith.llm.common import read_table
 
 
@@ -18,6 +18,10 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_lattice.encode_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), with_ids=False)
+
+
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudo_likelihood.pseudo_likelihood(read_table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_sentencepiece,
         op2_lm_scoring,
         op3_warc_round_trip,
         op4_toxicity,
