@@ -24,20 +24,19 @@ def _row_key(id_col: str) -> list[Column]:
 def document_lines(docs: DataFrame, site: str, min_words: int) -> DataFrame:
     """``did, rid, site, pos, k1, k2`` per line of at least ``min_words`` words; the keys hash the line without outer blanks."""
     lines = docs.select(*_row_key("doc_id"), F.col(site).cast("string").alias("site"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("pos", "line"))
-    trimmed = lines.withColumn("line", F.trim(F.translate("line", "\t\r\x0b\x0c", "    "))).where(F.size(F.split("line", " +")) >= min_words)
+    trimmed = lines.withColumn("line", F.trim(F.translate("line", "\t\r\x0b\x0c", "    "))).where(F.col("line").rlike(f"^(?:[^ ]+ +){{{min_words - 1}}}[^ ]"))
     return trimmed.select("did", "rid", "site", "pos", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"))
 
 
 def spread_lines(lines: DataFrame, min_sites: int, lg_k: int = 12) -> DataFrame:
-    """``(k1, k2)`` of the lines found on at least ``min_sites`` distinct sites; rows without a site count for none."""
+    """The occurrences (rows of ``lines``) of lines found on at least ``min_sites`` distinct sites, as a table; rows without a site count for none."""
     margin = max(1, round(min_sites * 4 * 1.04 / (1 << lg_k) ** 0.5))
     rough = lines.where("site is not null").groupBy("k1", "k2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("about"), F.count("*").alias("n"))
-    maybe = cut(rough.where((F.col("n") >= min_sites) & (F.col("about") >= min_sites - margin)), "spread")
-    near = maybe.where(F.col("about") <= min_sites + margin).select("k1", "k2")
-    exact = lines.join(_small(near), ["k1", "k2"]).groupBy("k1", "k2").agg(F.countDistinct("site").alias("sites")).where(F.col("sites") >= min_sites).select("k1", "k2")
-    out = cut(maybe.where(F.col("about") > min_sites + margin).select("k1", "k2").union(exact), "boilerplate")
+    maybe = cut(rough.where((F.col("n") >= min_sites) & (F.col("about") >= min_sites - margin)).select("k1", "k2", (F.col("about") <= min_sites + margin).alias("near")), "spread")
+    found = cut(lines.join(_small(maybe), ["k1", "k2"]), "found-lines")
+    few = found.where("near").groupBy("k1", "k2").agg(F.countDistinct("site").alias("sites")).where(F.col("sites") < min_sites).select("k1", "k2")
     drop_cut(maybe)
-    return out
+    return found.join(few, ["k1", "k2"], "left_anti").drop("near")
 
 
 def _small(keys: DataFrame) -> DataFrame:
@@ -53,13 +52,11 @@ def remove_spread_lines(docs: DataFrame, site: str = "source", min_sites: int =
     comes first in no order but its own; an empty table gives no rows. The names ``n_lines`` and ``n_removed`` are
     replaced if ``docs`` has them.
     """
-    lines = document_lines(docs, site, min_words)
-    keys = spread_lines(lines, min_sites)
-    found = lines.select("did", "rid", "pos", "k1", "k2").join(_small(keys), ["k1", "k2"])
+    found = spread_lines(document_lines(docs, site, min_words), min_sites)
     if keep_first:
         order = F.struct((F.col("did") == _NO_ID).alias("last"), "did", "rid", "pos")
-        first = cut(found.groupBy("k1", "k2").agg(F.min(order).alias("first")).select("k1", "k2", "first"), "first-lines")
-        found = found.join(_small(first), ["k1", "k2"]).where(~((F.col("did") == F.col("first.did")) & (F.col("rid") == F.col("first.rid")) & (F.col("pos") == F.col("first.pos"))))
+        first = found.groupBy("k1", "k2").agg(F.min(order).alias("first"))
+        found = found.join(first, ["k1", "k2"]).where(~((F.col("did") == F.col("first.did")) & (F.col("rid") == F.col("first.rid")) & (F.col("pos") == F.col("first.pos"))))
     drops = found.groupBy("did", "rid").agg(F.collect_set("pos").alias("_drops"))
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     flat = docs.select(*_row_key("doc_id"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), F.split(F.col("text").cast("string"), "\n").alias("_lines"))
