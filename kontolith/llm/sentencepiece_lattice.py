@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 from kontolith.llm.common import BoundedCache, map_batches
 
+#: Rarer units that a Python worker keeps; about 250 bytes each.
+KEPT_UNITS = 150_000
 META = "▁"
 _UNIT = re.compile(f"{META}*[^{META}\n]+|{META}+|\n+")
 BPE, UNIGRAM = 2, 1
@@ -144,10 +146,14 @@ def decode(ids: list[int], p: Pieces) -> str:
 
 
 def frequent_units(docs: DataFrame, vocabulary: int) -> DataFrame:
-    """At most ``vocabulary`` units, the most frequent by what batches find at least three times; only speed depends on the choice."""
+    """At most ``vocabulary`` units, the most frequent by what 500 rows have at least three times; only speed depends on the choice."""
 
     def make():
-        def step(batch: pa.RecordBatch):
+        def step(whole: pa.RecordBatch):
+            for at in range(0, whole.num_rows, 500):  # few units are held at once
+                yield one(whole.slice(at, 500))
+
+        def one(batch: pa.RecordBatch):
             seen = Counter()
             for t in batch.column(0).to_pylist():
                 seen.update(units_of(t))
@@ -244,8 +250,8 @@ def encode_documents(docs: DataFrame, model_path: str, kind: int = BPE, vocabula
             return b"".join([table.get(u) or rare[u] for u in units_of(text)])
 
         def step(batch: pa.RecordBatch):
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
                 rows = []
                 for text in part.column(1).to_pylist():
                     ids = ids_of(text)
@@ -268,7 +274,7 @@ def encode_documents(docs: DataFrame, model_path: str, kind: int = BPE, vocabula
 @lru_cache(maxsize=4)
 def _rare(model_path: str, kind: int) -> BoundedCache:
     p = load_pieces(model_path, kind)
-    return BoundedCache(lambda u: encode_unit(u, p))
+    return BoundedCache(lambda u: encode_unit(u, p), KEPT_UNITS)
 
 
 @lru_cache(maxsize=4)

@@ -108,6 +108,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 6000, max_unlabe
 
     sample = cut(map_batches(chosen, make, "p int, u int, features array<long>"), "toxic-sample")
     n_p, n_u = sample.agg(F.sum("p"), F.sum("u")).first()
+    if not n_p or not n_u:
+        return ToxicityModel({}, -20.0, prior, n_p or 0, n_u or 0)
     share_p, share_u = F.col("p") / n_p, F.col("u") / n_u
     both = (F.col("p") + F.col("u")) / (n_p + n_u)
     z = (share_p - share_u) / F.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u) + 1e-12)
@@ -128,8 +130,6 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 6000, max_unlabe
     drop_cut(sample)
     x_p = [np.array(r.features, np.int64) for r in rows if r.p]
     x_u = [np.array(r.features, np.int64) for r in rows if r.u]
-    if not x_p or not x_u:
-        return ToxicityModel({}, -20.0, prior, len(x_p), len(x_u))
     w, bias = nn_pu_fit(x_p, x_u, len(picked), prior)
     return ToxicityModel({f: float(w[i]) for f, i in at.items() if w[i]}, bias, prior, len(x_p), len(x_u))
 
