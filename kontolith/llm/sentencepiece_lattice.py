@@ -12,6 +12,7 @@ in a bounded cache. So every text is encoded whole, without a shuffle of texts o
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -26,9 +27,9 @@ from pyspark.sql import functions as F
 from kontolith.llm.common import BoundedCache, map_batches
 
 #: Rarer units that a Python worker keeps; about 250 bytes each.
-KEPT_UNITS = 150_000
+KEPT_UNITS = 250_000
 META = "▁"
-_UNIT = re.compile(f"{META}*[^{META}\n]+|{META}+|\n+")
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 BPE, UNIGRAM = 2, 1
 
 
@@ -41,6 +42,15 @@ class Pieces:
     texts: tuple[str, ...]  # by id
     longest: int
     kind: int
+    unit: re.Pattern  # what a text falls into; no piece crosses from one unit to the next
+
+
+def unit_pattern(pieces: list[str]) -> re.Pattern:
+    """Meta symbols with what follows, and line breaks; letters end a unit before punctuation that no piece joins to a letter."""
+    joined = {b for x in pieces for a, b in zip(x, x[1:], strict=False) if re.match(f"[{_LETTERS}]", a)}
+    alone = re.escape("".join(c for c in ",.;:!?*#$%&" if c not in joined))
+    words = f"{META}*[{_LETTERS}]+(?=[{META}\n{alone}]|\\Z)|"
+    return re.compile(words + f"{META}*[^{META}\n]+|{META}+|\n+")
 
 
 @lru_cache(maxsize=4)
@@ -54,15 +64,15 @@ def load_pieces(model_path: str, kind: int = BPE) -> Pieces:
     plain = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
     byte_ids = tuple(i for i in range(n) if sp.is_byte(i))
     ids = {texts[i]: i for i in plain}
-    return Pieces(ids, {texts[i]: sp.get_score(i) for i in plain}, byte_ids, sp.unk_id(), texts, max(map(len, ids)), kind)
+    return Pieces(ids, {texts[i]: sp.get_score(i) for i in plain}, byte_ids, sp.unk_id(), texts, max(map(len, ids)), kind, unit_pattern(list(ids)))
 
 
 def escape(text: str | None) -> str:
     return META + text.replace(" ", META) if text else ""
 
 
-def units_of(text: str | None) -> list[str]:
-    return _UNIT.findall(escape(text))
+def units_of(text: str | None, p: Pieces) -> list[str]:
+    return p.unit.findall(escape(text))
 
 
 def _symbol_ids(symbol: str, p: Pieces) -> list[int]:
@@ -74,6 +84,30 @@ def _symbol_ids(symbol: str, p: Pieces) -> list[int]:
 
 def merge_fold(unit: str, p: Pieces) -> list[str]:
     """Join neighbouring symbols while some pair's text is a piece: the highest score first, then the leftmost."""
+    return _merge_short(unit, p) if len(unit) <= 48 else _merge_long(unit, p)
+
+
+def _merge_short(unit: str, p: Pieces) -> list[str]:
+    """By a list of the pairs' scores; the least work for usual words."""
+    none, score = float("-inf"), p.scores.get
+    symbols = list(unit)
+    pairs = [score(a + b, none) for a, b in zip(symbols, symbols[1:], strict=False)]
+    while pairs:
+        best = max(pairs)
+        if best == none:
+            break
+        i = pairs.index(best)
+        symbols[i : i + 2] = [joined := symbols[i] + symbols[i + 1]]
+        del pairs[i]
+        if i:
+            pairs[i - 1] = score(symbols[i - 1] + joined, none)
+        if i < len(pairs):
+            pairs[i] = score(joined + symbols[i + 1], none)
+    return symbols
+
+
+def _merge_long(unit: str, p: Pieces) -> list[str]:
+    """By a heap, in the length's order times its logarithm."""
     n = len(unit)
     after, before, size = list(range(1, n + 1)), list(range(-1, n - 1)), [1] * n
     scores, longest = p.scores, p.longest
@@ -124,7 +158,11 @@ def encode_unit(unit: str, p: Pieces) -> bytes:
         symbols = list(unit)
     else:
         symbols = merge_fold(unit, p) if p.kind == BPE else viterbi_fold(unit, p)
-    return np.array([i for s in symbols for i in _symbol_ids(s, p)], "<u4").tobytes()
+    try:
+        ids = [p.ids[s] for s in symbols]
+    except KeyError:
+        ids = [i for s in symbols for i in _symbol_ids(s, p)]
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def decode(ids: list[int], p: Pieces) -> str:
@@ -145,7 +183,7 @@ def decode(ids: list[int], p: Pieces) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
-def frequent_units(docs: DataFrame, vocabulary: int) -> DataFrame:
+def frequent_units(docs: DataFrame, vocabulary: int, model_path: str, kind: int) -> DataFrame:
     """At most ``vocabulary`` units, the most frequent by what 500 rows have at least three times; only speed depends on the choice."""
 
     def make():
@@ -154,9 +192,9 @@ def frequent_units(docs: DataFrame, vocabulary: int) -> DataFrame:
                 yield one(whole.slice(at, 500))
 
         def one(batch: pa.RecordBatch):
-            seen = Counter()
+            seen, p = Counter(), load_pieces(model_path, kind)
             for t in batch.column(0).to_pylist():
-                seen.update(units_of(t))
+                seen.update(units_of(t, p))
             got = [(u, n) for u, n in seen.items() if n >= 3 and len(u) <= 64]
             return pa.RecordBatch.from_arrays([pa.array([u for u, _ in got], pa.string()), pa.array([n for _, n in got], pa.int64())], ["unit", "n"])
 
@@ -238,7 +276,7 @@ def encode_documents(docs: DataFrame, model_path: str, kind: int = BPE, vocabula
     """
     pieces = load_pieces(model_path, kind)
     spark: SparkSession = docs.sparkSession
-    folded = encode_units(frequent_units(docs, vocabulary), pieces).collect()  # at most vocabulary short units
+    folded = encode_units(frequent_units(docs, vocabulary, model_path, kind), pieces).collect()  # at most vocabulary short units
     known = spark.sparkContext.broadcast({r.unit: np.array(r.ids, "<u4").tobytes() for r in folded if r.ids is not None and None not in r.ids})
 
     def make():
@@ -247,7 +285,7 @@ def encode_documents(docs: DataFrame, model_path: str, kind: int = BPE, vocabula
         rare = _rare(model_path, kind)
 
         def ids_of(text: str | None) -> bytes:
-            return b"".join([table.get(u) or rare[u] for u in units_of(text)])
+            return b"".join([table.get(u) or rare[u] for u in units_of(text, p)])
 
         def step(batch: pa.RecordBatch):
             for at in range(0, batch.num_rows, 200):
