@@ -31,7 +31,8 @@ class Tree:
 
 
 def grow_tree(x: np.ndarray, rng: np.random.Generator, leaf: int, spill: float, max_depth: int) -> Tree:
-    """Grow on the rows of ``x`` (unit vectors). A node whose children would each keep almost all of it becomes a leaf."""
+    """Grow on the rows of ``x`` (unit vectors). A node of which over a quarter would go to both children becomes a leaf: its
+    rows lie closer together than the margin, so further splits would part links or repeat rows."""
     dirs, splits, kids = [], [], []
     leaves = 0
     todo = [(np.arange(len(x)), 0, -1, 0)]
@@ -43,7 +44,7 @@ def grow_tree(x: np.ndarray, rng: np.random.Generator, leaf: int, spill: float,
             p = x[rows] @ direction
             t = float(np.median(p))
             left, right = rows[p <= t + spill], rows[p >= t - spill]
-            if max(len(left), len(right)) < 0.95 * len(rows):
+            if len(left) + len(right) <= 1.25 * len(rows):
                 me = len(dirs)
                 dirs.append(direction)
                 splits.append(t)
@@ -92,8 +93,7 @@ def near_links(vectors: DataFrame, threshold: float, trees: int, leaf: int, spil
         return vectors.sparkSession.createDataFrame([], "a long, b long")
     x = _unit(np.array([r.v for r in picked], float))
     rng = np.random.default_rng(seed)
-    width = spill / np.sqrt(x.shape[1]) * np.sqrt(x.shape[1])  # of projections on directions of expected length sqrt(dim)
-    forest = [grow_tree(x, rng, leaf, width, 40) for _ in range(trees)]
+    forest = [grow_tree(x, rng, leaf, spill, 40) for _ in range(trees)]  # a unit vector's projections have variance 1
     sent = vectors.sparkSession.sparkContext.broadcast(forest)  # bounded by the sample: at most sample / leaf nodes a tree
 
     def make():
@@ -104,7 +104,7 @@ def near_links(vectors: DataFrame, threshold: float, trees: int, leaf: int, spil
             m = _unit(flat.reshape(batch.num_rows, -1))
             at, cells = [], []
             for k, tree in enumerate(sent.value):
-                r, c = route(tree, m, width)
+                r, c = route(tree, m, spill)
                 at.append(r)
                 cells.append((k << 32) + c)
             at, cells = np.concatenate(at), np.concatenate(cells)
@@ -139,7 +139,7 @@ def near_links(vectors: DataFrame, threshold: float, trees: int, leaf: int, spil
     return out
 
 
-def embedding_classes(table: DataFrame, threshold: float = 0.9, trees: int = 10, leaf: int = 48, spill: float = 0.03, sample: int = 20_000, block: int = 1024, seed: int = 11, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def embedding_classes(table: DataFrame, threshold: float = 0.9, trees: int = 8, leaf: int = 64, spill: float = 0.08, sample: int = 20_000, block: int = 1024, seed: int = 11, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` per row: vectors linked directly, the smallest id that links reach, id = component.
 
     Null and zero vectors and those with null or non-finite components link with nothing, nor do vectors of another
