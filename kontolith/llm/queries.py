@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kontolith.llm import embedding_forest, line_spread, packing, page_diff, partenum, pseudo_likelihood, quality_rules, sentencepiece_lattice, toxicity, warc
 from kontolith.llm.common import read_table
+from kontolith.llm.oracles import EMBEDDING_SQL, JACCARD_SQL, WARC_SQL
 
 
 def tokenizer_path(name: str) -> str:
@@ -75,4 +76,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {"op9_line_dedup": line_spread.spread_oracle()}
+ORACLES: dict[str, str] = {"op3_warc_round_trip": WARC_SQL, "op6_embedding_near_dedup": EMBEDDING_SQL, "op8_ngram_jaccard_join": JACCARD_SQL, "op9_line_dedup": line_spread.spread_oracle()}
