@@ -2,11 +2,12 @@
 
 Sizes fall into bands whose ends differ by the similarity threshold, so linked sets lie in one band or in neighbours.
 For a pair of neighbouring bands the symmetric difference of a linked pair is at most ``k``. The 64-bit shingle domain is
-split into ``n1`` partitions, each of two halves: if at most ``k`` elements differ, then some partition holds at most one
-of them and one of its two halves is the same in both sets. Enumerating the one-of-two subsets of every partition gives
-signatures, and linked sets share at least one. ``e`` spare partitions let a set leave out halves of under two elements,
-which would otherwise be common to many unrelated sets: a linked pair has at least ``1 + e`` good partitions, so while at
-most ``e`` partitions of one of its sets have such a half, a good partition without one remains.
+split into ``n1`` partitions, each of ``n2`` parts: if at most ``k`` elements differ, then some partition holds at most one
+of them and ``n2 - 1`` of its parts are the same in both sets. Enumerating the subsets that leave one part out gives
+signatures, and linked sets share at least one. Two parts give the fewest signatures; for lower thresholds, where a part
+holds few elements, three make them more telling. ``e`` spare partitions let a set leave out signatures without
+elements, which would be common to many unrelated sets: a linked pair has at least ``1 + e`` good partitions, so while at
+most ``e`` partitions of one of its sets have such a signature, a good partition without one remains.
 
 Candidates are checked on the exact sets. Within a signature's bucket every set is first compared with the smallest one;
 after uniting, only pairs that still lie in different components are compared, so a bucket of n near copies costs n
@@ -75,14 +76,15 @@ def band_ends(percent: int, upto: int = 1 << 40) -> tuple[int, ...]:
 
 
 @lru_cache(maxsize=4096)
-def _instance(band: int, percent: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """Spare partitions, the inner limits of the ``2 * n1`` halves and a tag for each, for sets of ``band`` and ``band + 1``."""
+def _instance(band: int, percent: int) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """Parts a partition, spare partitions, the inner limits of all parts and a tag for each signature, for sets of ``band`` and ``band + 1``."""
     ends = band_ends(percent)
     k = (ends[band] + ends[band + 1]) * (100 - percent) // (100 + percent)
     spare = 0 if k < 2 else 1 + k // 40
-    halves = 2 * (k // 2 + 1 + spare)
-    limits = np.array([(j << 64) // halves for j in range(1, halves)], dtype=np.uint64)
-    return spare, limits, mix64(np.arange(1, halves + 1, dtype=np.uint64) * _MULT[4] + np.uint64((band + 1) * int(_MULT[5]) & _ALL))
+    parts = 2 if percent >= 85 else 3
+    n = parts * (k // 2 + 1 + spare)
+    limits = np.array([(j << 64) // n for j in range(1, n)], dtype=np.uint64)
+    return parts, spare, limits, mix64(np.arange(1, n + 1, dtype=np.uint64) * _MULT[4] + np.uint64((band + 1) * int(_MULT[5]) & _ALL))
 
 
 def signatures(s: np.ndarray, percent: int) -> np.ndarray:
@@ -96,14 +98,15 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
     np.cumsum(s, out=run[1:])
     out = []
     for instance in (band - 1, band) if band else (band,):
-        spare, limits, tags = _instance(instance, percent)
+        parts, spare, limits, tags = _instance(instance, percent)
         at = np.empty(len(limits) + 2, np.int64)
         at[0], at[1:-1], at[-1] = 0, np.searchsorted(s, limits), n
-        sums = run[at]
-        sig = (sums[1:] - sums[:-1]) * _MULT[6] + tags
-        thin = at[1:] - at[:-1] < 2
-        if spare and np.count_nonzero(thin[0::2] | thin[1::2]) <= spare:
-            sig = sig[~thin]
+        bounds, sums = at[::parts], run[at]
+        whole, held = np.repeat(sums[::parts][1:] - sums[::parts][:-1], parts), np.repeat(bounds[1:] - bounds[:-1], parts)
+        sig = (whole - (sums[1:] - sums[:-1])) * _MULT[6] + tags
+        bare = held == at[1:] - at[:-1]
+        if spare and np.count_nonzero(bare.reshape(-1, parts).any(axis=1)) <= spare:
+            sig = sig[~bare]
         out.append(sig)
     return np.concatenate(out).view(np.int64)
 
