@@ -27,8 +27,8 @@ from kontolith.llm.common import cut, drop_cut, map_batches
 GROUP_PIECES = 3000
 
 
-#: Chunks whose ids a Python worker keeps; about 200 bytes each.
-KEPT_CHUNKS = 1_200_000
+#: Chunks whose ids a Python worker keeps in each of two generations; about 200 bytes each.
+KEPT_CHUNKS = 350_000
 #: Lower-case Latin words with closing punctuation: one token sequence for the word, one for the punctuation.
 _PLAIN = re.compile("[a-zß-öø-ÿ]+([.,;:!?]*)")
 
@@ -45,6 +45,7 @@ class ChunkIds:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}  # the generation before; what is used again moves on
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -73,11 +74,12 @@ class ChunkIds:
 
     def of_texts(self, texts: list[str | None]) -> list[bytes]:
         split = [(t if "Σ" in t else t.lower()).replace("\n", " ").split(" ") if t else [] for t in texts]
-        needed = set().union(*split)
-        new = needed.difference(self.known)
-        if len(self.known) + len(new) > KEPT_CHUNKS:
-            self.known, new = {"": b""}, needed - {""}
-        self.learn(new)
+        if len(self.known) > KEPT_CHUNKS:
+            self.known, self.older = {"": b""}, self.known
+        new = set().union(*split).difference(self.known)
+        again = new & self.older.keys()
+        self.known.update((c, self.older[c]) for c in again)
+        self.learn(new - again)
         return [b"".join(map(self.known.__getitem__, chunks)) for chunks in split]
 
 

@@ -98,9 +98,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 6000, max_unlabe
     chosen = texts.join(F.broadcast(positives), "doc_id", "left").select("text", F.coalesce("p", F.lit(0)).alias("p"), part(max_unlabelled / max(1, n_texts), 2).cast("int").alias("u")).where("p = 1 or u = 1")
 
     def make():
-        cache = BoundedCache(word_features)
+        cache = BoundedCache(word_features, 60_000)
 
-        def step(batch: pa.RecordBatch):
+        def step(whole: pa.RecordBatch):
+            for at in range(0, whole.num_rows, 200):
+                yield one(whole.slice(at, 200))
+
+        def one(batch: pa.RecordBatch):
             sets = [np.fromiter(text_features(t, cache), np.int64) for t in batch.column(0).to_pylist()]
             return pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(sets, pa.list_(pa.int64()))], ["p", "u", "features"])
 
@@ -142,9 +146,13 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> Data
     weights, bias = model.weights, model.bias
 
     def make():
-        cache = BoundedCache(lambda w: tuple(f for f in word_features(w) if f in weights))
+        cache = BoundedCache(lambda w: tuple(f for f in word_features(w) if f in weights), 250_000)
 
-        def step(batch: pa.RecordBatch):
+        def step(whole: pa.RecordBatch):
+            for at in range(0, whole.num_rows, 500):
+                yield one(whole.slice(at, 500))
+
+        def one(batch: pa.RecordBatch):
             out = []
             for text in batch.column(1).to_pylist():
                 g = bias + sum(weights[f] for f in sorted(text_features(text, cache)))
@@ -169,9 +177,13 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **bou
     names = docs.columns
 
     def make():
-        cache = BoundedCache(lambda w: tuple(f for f in word_features(w) if f in weights))
+        cache = BoundedCache(lambda w: tuple(f for f in word_features(w) if f in weights), 250_000)
 
-        def step(batch: pa.RecordBatch):
+        def step(whole: pa.RecordBatch):
+            for at in range(0, whole.num_rows, 500):
+                yield one(whole.slice(at, 500))
+
+        def one(batch: pa.RecordBatch):
             keep = [0.5 * (1 + float(np.tanh((bias + sum(weights[f] for f in sorted(text_features(t, cache)))) / 2))) < threshold for t in batch.column(names.index("text")).to_pylist()]
             return batch.filter(pa.array(keep, pa.bool_()))
 
