@@ -38,10 +38,9 @@ def cadence_and_prices(bookings: DataFrame, per_account: bool = False) -> DataFr
     fixed = F.col("kategorie") == S.FIXED
     key = ["_key", "konto"] if per_account else ["_key"]
     keyed = bookings.where(fixed).withColumn("_key", group_key(F.col("verwendungszweck")))
-    with_days = intervals(keyed, key)
+    named = group_cadence(intervals(keyed, key), key)
     dated = F.col("datum").isNotNull()
     by = Window.partitionBy(*key, dated).orderBy("datum", "seq")
-    whole = Window.partitionBy(*key)
-    noted = with_days.withColumn("_note", F.when(dated, price_note(F.col("betrag"), F.lag("betrag").over(by)))).withColumn("turnus", F.when(F.count("datum").over(whole) == 1, "einmalig/unklar").otherwise(cadence_name(F.median("days").over(whole))))
+    noted = keyed.withColumn("_note", F.when(dated, price_note(F.col("betrag"), F.lag("betrag").over(by)))).drop("turnus").join(named, key)
     done = noted.withColumn("vermerk", F.coalesce("_note", "vermerk")).select(*bookings.columns)
     return bookings.where(~F.coalesce(fixed, F.lit(False))).unionByName(done)

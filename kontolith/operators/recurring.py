@@ -13,11 +13,9 @@ from kontolith.schemas import MONEY
 SURE, LIKELY = "SICHER", "WAHRSCHEINLICH"
 
 
-def regular(days: Column) -> Column:
-    """Of an array of intervals: at least two, all within 35 % of their median."""
-    s, n = F.array_sort(days), F.size(days)
-    mid = (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
-    return F.coalesce((n >= 2) & (mid > 0) & F.forall(days, lambda d: F.abs(d - mid) <= 0.35 * mid), F.lit(False))
+def regular(n: Column, mid: Column, low: Column, high: Column) -> Column:
+    """At least two intervals, all within 35 % of their median: the shortest and the longest say so for all."""
+    return F.coalesce((n >= 2) & (mid > 0) & (high - mid <= 0.35 * mid) & (mid - low <= 0.35 * mid), F.lit(False))
 
 
 def keyed_bookings(bookings: DataFrame) -> DataFrame:
@@ -51,18 +49,19 @@ def recurring_groups(bookings: DataFrame, all_groups: bool = False) -> DataFrame
         F.sum(size).alias("_abs"),
         F.min(size).alias("_low"),
         F.max(size).alias("_high"),
-        F.collect_list("days").alias("_days"),
+        F.count("days").alias("_gaps"),
+        F.median("days").alias("_mid"),
+        F.min("days").alias("_short"),
+        F.max("days").alias("_long"),
         F.min_by(shown, "seq").alias("empfaenger"),
         F.min("seq").alias("seq"),
     )
-    n, days = F.col("anzahl"), F.col("_days")
-    one = F.try_element_at(days, F.lit(1)).cast("double")
-    spaced = F.when(F.size(days) >= 2, regular(days)).when(F.size(days) == 1, cadence_name(one) != "unregelmaessig").otherwise(False)
+    n, mid = F.col("anzahl"), F.col("_mid")
+    even = regular(F.col("_gaps"), mid, F.col("_short"), F.col("_long"))
+    spaced = even | ((F.col("_gaps") == 1) & (cadence_name(mid) != "unregelmaessig"))
     in_band = (F.col("_abs") > 0) & ((n * F.col("_high") - F.col("_abs")) * 10 <= F.col("_abs")) & ((F.col("_abs") - n * F.col("_low")) * 10 <= F.col("_abs"))
     recurs = (n >= 3) & spaced & (F.startswith("schluessel", F.lit("ref:")) | in_band)
-    s, k = F.array_sort(days), F.size(days)
-    mid = (F.get(s, F.floor((k - 1) / 2).cast("int")) + F.get(s, F.floor(k / 2).cast("int"))) / 2
-    kind = F.when(recurs, F.when(regular(days), SURE).otherwise(LIKELY))
+    kind = F.when(recurs, F.when(even, SURE).otherwise(LIKELY))
     out = g.withColumn("klassifikation", kind).withColumn("turnus", cadence_name(mid)).withColumn("schnitt", exact_share(F.col("summe"), n)).withColumn("schwankung", F.col("_high") > F.col("_low"))
     out = out.join(most_frequent(rows, key, "art", "seq", "art"), key)
     columns = [*key, "empfaenger", "art", "turnus", "anzahl", "erster", "letzter", "schnitt", "summe", "klassifikation", "schwankung", "seq"]

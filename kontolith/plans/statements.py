@@ -48,14 +48,22 @@ def parse_statements(docs: DataFrame, profiles: DataFrame | None = None, zero_is
     return Parsed(cut(statements, "statements"), cut(full, "bookings"))
 
 
+def ranked_sources(parsed: DataFrame) -> DataFrame:
+    """``quelle_pdf, _rank``: sources numbered from 1 in their order, by a range sort; only a row per range is counted up."""
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = cut(parsed.select(DOC).distinct().orderBy(DOC).select(DOC, F.spark_partition_id().alias("_part"), row.alias("_row")), "sources")
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return placed.join(F.broadcast(before), "_part").select(DOC, (F.col("_before") + F.col("_row") + 1).alias("_rank"))
+
+
 def as_bookings(parsed: DataFrame) -> DataFrame:
     """Booking columns and ``seq`` of parsed bookings, in order of source, page and line.
 
-    ``seq`` packs the source's rank with page and line; sources are ranked among themselves, a row each.
+    ``seq`` packs the source's number with page and line: up to 2^31 sources of 2^12 pages of 2^20 lines.
     """
-    ranks = parsed.select(DOC).distinct().withColumn("_rank", F.row_number().over(Window.orderBy(DOC)))
-    seq = F.col("_rank").cast("long") * (1 << 32) + F.col("page_no") * (1 << 20) + F.col("line_no")
-    return decoded_keep(parsed.join(ranks, DOC).withColumn("seq", seq))
+    seq = F.col("_rank") * (1 << 32) + F.col("page_no") * (1 << 20) + F.col("line_no")
+    return decoded_keep(parsed.join(ranked_sources(parsed), DOC).withColumn("seq", seq))
 
 
 def decoded_keep(rows: DataFrame) -> DataFrame:
