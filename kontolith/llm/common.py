@@ -31,11 +31,22 @@ def new_place(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/kontolith/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: the lineage ends there and survives lost executors."""
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def cut(df: DataFrame, name: str = "cut", arrow_rows: int | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: the lineage ends there and survives lost executors.
+
+    ``arrow_rows`` bounds the rows of an Arrow batch while it runs, for rows that are large.
+    """
     spark = df.sparkSession
-    place = new_place(spark, name)
-    df.write.parquet(place)
+    place, was = new_place(spark, name), spark.conf.get(ARROW_ROWS)
+    if arrow_rows:
+        spark.conf.set(ARROW_ROWS, str(arrow_rows))
+    try:
+        df.write.parquet(place)
+    finally:
+        spark.conf.set(ARROW_ROWS, was)
     out = spark.read.schema(df.schema).parquet(place)
     out._kontolith_place = place
     return out

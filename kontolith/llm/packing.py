@@ -196,7 +196,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, size:
     One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``. Null and empty texts are one
     piece of ``end_id`` alone; repeated rows are packed each; an empty table gives no rows.
     """
-    pieces = cut(token_pieces(docs, tokenizer_path, end_id, size), "pieces")
+    pieces = cut(token_pieces(docs, tokenizer_path, end_id, size), "pieces", 1000)
     out = pack(pieces, size, **limits)
     drop_cut(pieces)
     return out

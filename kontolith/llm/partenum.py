@@ -209,6 +209,8 @@ def _signature_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), make, "sig long, doc long")
 
 
+#: Rows of an Arrow batch: texts, and pairs of exact sets.
+TEXT_ROWS, PAIR_ROWS = 1000, 250
 #: Ids that are sent to all tasks at most (8 bytes each) to pick texts before a shuffle; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -231,14 +233,14 @@ def _sets_of(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
 
         return step
 
-    out = cut(map_batches(texts.join(F.broadcast(ids) if few else ids, "id", "left_semi"), make, "id long, s array<long>"), "exact-sets")
+    out = cut(map_batches(texts.join(F.broadcast(ids) if few else ids, "id", "left_semi"), make, "id long, s array<long>"), "exact-sets", TEXT_ROWS)
     drop_cut(ids)
     return out
 
 
 def verified(pairs: DataFrame, docs: DataFrame, slim: DataFrame, width: int, percent: int) -> DataFrame:
     """Of the pairs ``(a, b)`` those whose exact sets reach the threshold: 100 * intersection >= percent * union; a table."""
-    pairs = cut(_narrowed(pairs, slim, percent), "pairs")
+    pairs = cut(_narrowed(pairs, slim, percent), "pairs", 8 * PAIR_ROWS)
     sets = _sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), docs, width)
     with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("set_b")), "b")
     with_both = with_b.join(sets.select(F.col("id").alias("a"), F.col("s").alias("set_a")), "a")
@@ -259,7 +261,7 @@ def verified(pairs: DataFrame, docs: DataFrame, slim: DataFrame, width: int, per
 
         return step
 
-    out = cut(map_batches(with_both.select("a", "b", "set_a", "set_b"), make, "a long, b long"), "links")
+    out = cut(map_batches(with_both.select("a", "b", "set_a", "set_b"), make, "a long, b long"), "links", PAIR_ROWS)
     drop_cut(sets)
     drop_cut(pairs)
     return out
@@ -275,7 +277,7 @@ def jaccard_classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    slim = cut(set_keys(docs, width), "sets")
+    slim = cut(set_keys(docs, width), "sets", TEXT_ROWS)
     real = slim.where("n_shingles > 0 and doc_id is not null")
     content = ["n_shingles", "key_a", "key_b"]
     copies = real.groupBy(*content).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -290,7 +292,7 @@ def jaccard_classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     if not few:
         rows = rows.join(idle.withColumnRenamed("doc_id", "doc"), "doc", "left").select("sig", F.coalesce("rep", "doc").alias("doc")).distinct()
     rows = rows.withColumn("a", F.min("doc").over(bucket)).withColumn("z", F.max("doc").over(bucket))
-    members = cut(rows.where("a <> z").select("sig", "doc", "a"), "members")
+    members = cut(rows.where("a <> z").select("sig", "doc", "a"), "members", TEXT_ROWS)
     parity = F.struct(F.col("n_shingles").alias("n"), *(F.col("parity")[i].alias(f"s{i}") for i in range(8)))
     marks = real.select(F.col("doc_id").alias("doc"), parity.alias("f"))
     firsts = members.where("doc <> a").select("a", F.col("doc").alias("b")).distinct()

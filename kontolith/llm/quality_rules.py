@@ -258,7 +258,7 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     Null texts are empty and fail the base rules; rows with a null id are judged but teach nothing; without labels only
     the base rules reject; an empty table gives no rows; other columns are ignored.
     """
-    stats = cut(text_statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "quality")
+    stats = cut(text_statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "quality", 1000)
     return verdicts(stats, fit(stats, labels, **how))
 
 

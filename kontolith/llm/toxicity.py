@@ -110,7 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 6000, max_unlabe
 
         return step
 
-    sample = cut(map_batches(chosen, make, "p int, u int, features array<long>"), "toxic-sample")
+    sample = cut(map_batches(chosen, make, "p int, u int, features array<long>"), "toxic-sample", 500)
     n_p, n_u = sample.agg(F.sum("p"), F.sum("u")).first()
     if not n_p or not n_u:
         return ToxicityModel({}, -20.0, prior, n_p or 0, n_u or 0)
