@@ -86,16 +86,21 @@ def as_bytes(column: pa.Array) -> list:
 
 
 class BoundedCache(dict):
-    """A dictionary that computes missing entries and starts anew when it is full."""
+    """A dictionary that computes missing entries and holds about ``limit`` of them, in two generations.
+
+    When the younger one is full, it becomes the older one and what is used again moves back; so frequent entries stay.
+    """
 
     def __init__(self, compute: Callable, limit: int = CACHE_ENTRIES):
         super().__init__()
-        self.compute, self.limit = compute, limit
+        self.compute, self.half, self.older = compute, max(1, limit // 2), {}
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
+        if len(self) >= self.half:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.compute(key)
+        value = self.older[key] if key in self.older else self.compute(key)
+        self[key] = value
         return value
 
 

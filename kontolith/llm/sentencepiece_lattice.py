@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from kontolith.llm.common import BoundedCache, map_batches
 
 #: Rarer units that a Python worker keeps; about 250 bytes each.
-KEPT_UNITS = 250_000
+KEPT_UNITS = 700_000
 META = "▁"
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 BPE, UNIGRAM = 2, 1
