@@ -115,6 +115,22 @@ def mix64(x):
     return x ^ (x >> np.uint64(31))
 
 
+def most_frequent(counted: DataFrame, n: str, most: int) -> DataFrame:
+    """Rows of a table with the largest counts ``n`` (at least 1), at most ``most``: whole frequency classes from the top.
+
+    Only a row per class (a sixteenth of a doubling) is gathered, however many partitions the table has.
+    """
+    level = F.floor(F.log2(F.col(n).cast("double")) * 16).cast("int")
+    sizes = sorted(((r.level, r.k) for r in counted.groupBy(level.alias("level")).agg(F.count("*").alias("k")).collect()), reverse=True)
+    least, held = None, 0
+    for lv, k in sizes:
+        held += k
+        if held > most:
+            break
+        least = lv
+    return counted.where(F.lit(False)) if least is None else counted.where(level >= least)
+
+
 def fold_id(held: str = "doc_id"):
     """crc32 of the id's decimal text, modulo 3, as a Spark expression; 1 marks the held-out fold."""
     return F.crc32(F.col(held).cast("string").cast("binary")) % 3

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kontolith.llm.common import cut, drop_cut, map_batches
+from kontolith.llm.common import cut, drop_cut, map_batches, most_frequent
 from kontolith.llm.words import WordHasher
 
 
@@ -122,11 +122,11 @@ def train_network(counts: np.ndarray, width: int = 32, rounds: int = 300, rate:
 
 
 def fit(docs: DataFrame, vocabulary: int = 50_000, n_classes: int = 64, own: int = 40) -> WindowModel:
-    """Count, form classes and train. The vocabulary (its size is the bound) is the most frequent words of all documents."""
+    """Count, form classes and train. The vocabulary is the most frequent words of all documents, at most ``vocabulary``."""
     counted = cut(word_counts(docs), "word-counts")
     tokens, types = counted.agg(F.sum("n"), F.count("*")).first()
     tokens = tokens or 0
-    top = counted.orderBy(F.desc("n"), "word").limit(vocabulary).collect()
+    top = sorted(most_frequent(counted, "n", vocabulary).collect(), key=lambda r: (-r.n, r.word))
     drop_cut(counted)
     h, n = np.array([r.word for r in top], np.int64).view(np.uint64), np.array([r.n for r in top], np.int64)
     # ranks 0 .. own-1 alone, the others in bins of equal ratio, the last class for what is outside

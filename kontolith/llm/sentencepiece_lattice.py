@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kontolith.llm.common import BoundedCache, map_batches
+from kontolith.llm.common import BoundedCache, cut, map_batches, most_frequent
 
 #: Rarer units that a Python worker keeps; about 250 bytes each.
 KEPT_UNITS = 700_000
@@ -201,7 +201,7 @@ def frequent_units(docs: DataFrame, vocabulary: int, model_path: str, kind: int)
         return step
 
     counted = map_batches(docs.select(F.col("text").cast("string")), make, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    return counted.orderBy(F.desc("n"), "unit").limit(vocabulary).select("unit")
+    return most_frequent(cut(counted, "units"), "n", vocabulary).select("unit")
 
 
 def lattice_edges(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
@@ -209,9 +209,9 @@ def lattice_edges(units: DataFrame, pieces: DataFrame, longest: int) -> DataFram
     n = F.length("unit")
     starts = units.select("unit", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
     spans = starts.select("unit", "n", "start", F.explode(F.sequence(F.col("start") + 1, F.least(F.col("n"), F.col("start") + longest))).alias("end"))
-    cut = spans.withColumn("piece", F.col("unit").substr(F.col("start") + 1, F.col("end") - F.col("start")))
+    pieces_of = spans.withColumn("piece", F.col("unit").substr(F.col("start") + 1, F.col("end") - F.col("start")))
     # the piece table is a model's, of fixed size
-    return cut.join(F.broadcast(pieces), "piece").groupBy("unit", "n").agg(F.array_sort(F.collect_list(F.struct("start", "end", "id", "score"))).alias("edges"))
+    return pieces_of.join(F.broadcast(pieces), "piece").groupBy("unit", "n").agg(F.array_sort(F.collect_list(F.struct("start", "end", "id", "score"))).alias("edges"))
 
 
 _KEY = 1 << 16

@@ -480,3 +480,11 @@ def test_pipeline_stages(spark, tmp_path):
         now = spark.read.parquet(f"{tmp_path}/{k}")
     assert {300, 301, 302, 303, 304}.isdisjoint(ids) and ids == clean
     assert {r.doc_id for r in now.collect()} == clean and corpus_pipeline.run(spark, str(tmp_path)).count() == now.count()
+
+
+def test_most_frequent_is_bounded(spark):
+    from kontolith.llm.common import most_frequent
+
+    df = spark.createDataFrame([(i, n) for i, n in enumerate([1] * 50 + [2] * 10 + [100, 90, 7])], "w int, n long")
+    assert {r.n for r in most_frequent(df, "n", 20).collect()} == {2, 7, 90, 100} and most_frequent(df, "n", 12).count() == 3
+    assert most_frequent(df.where("n = 1"), "n", 10).count() == 0 and most_frequent(df.where("false"), "n", 5).count() == 0
