@@ -14,6 +14,8 @@ from kontolith.llm.common import cut, drop_cut
 
 #: Line keys that are sent to all tasks at most (16 bytes each); more are joined by a shuffle.
 BROADCAST_KEYS = 200_000
+#: Texts with lines to remove that are sent to all tasks at most, of five lines on average (some 100 bytes each); more are joined by a shuffle.
+BROADCAST_DROPS = 300_000
 _NO_ID = -(1 << 63)
 
 
@@ -57,7 +59,10 @@ def remove_spread_lines(docs: DataFrame, site: str = "source", min_sites: int =
         order = F.struct((F.col("did") == _NO_ID).alias("last"), "did", "rid", "pos")
         first = found.groupBy("k1", "k2").agg(F.min(order).alias("first"))
         found = found.join(first, ["k1", "k2"]).where(~((F.col("did") == F.col("first.did")) & (F.col("rid") == F.col("first.rid")) & (F.col("pos") == F.col("first.pos"))))
-    drops = found.groupBy("did", "rid").agg(F.collect_set("pos").alias("_drops"))
+    drops = cut(found.groupBy("did", "rid").agg(F.collect_set("pos").alias("_drops")), "line-drops")
+    rows, places = drops.agg(F.count("*"), F.coalesce(F.sum(F.size("_drops")), F.lit(0))).first()
+    if rows <= BROADCAST_DROPS and places <= 5 * BROADCAST_DROPS:
+        drops = F.broadcast(drops)  # the texts then stay where they are
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     flat = docs.select(*_row_key("doc_id"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), F.split(F.col("text").cast("string"), "\n").alias("_lines"))
     joined = flat.join(drops, ["did", "rid"], "left")
