@@ -60,10 +60,11 @@ def nn_pu_fit(x_p: list[np.ndarray], x_u: list[np.ndarray], dim: int, prior: flo
     (rp, cp, n_p), (ru, cu, n_u) = csr(x_p), csr(x_u)
     w, m, v = np.zeros(dim + 1), np.zeros(dim + 1), np.zeros(dim + 1)
     w[dim] = np.log(prior / (1 - prior))
+    sums = lambda at, values, n: np.bincount(at, values, n).astype(float)  # noqa: E731 - of no rows at all, bincount gives integers
     sigmoid = lambda z: 0.5 * (1 + np.tanh(z / 2))
     for t in range(1, rounds + 1):
-        g_p = np.bincount(rp, w[cp], n_p) + w[dim]
-        g_u = np.bincount(ru, w[cu], n_u) + w[dim]
+        g_p = sums(rp, w[cp], n_p) + w[dim]
+        g_u = sums(ru, w[cu], n_u) + w[dim]
         negative = np.logaddexp(0, g_u).mean() - prior * np.logaddexp(0, g_p).mean()
         s_p, s_u = sigmoid(g_p), sigmoid(g_u)
         d_p, d_u = prior * (s_p - 1) / n_p, np.zeros(n_u)
@@ -71,7 +72,7 @@ def nn_pu_fit(x_p: list[np.ndarray], x_u: list[np.ndarray], dim: int, prior: flo
             d_u, d_p = s_u / n_u, d_p - prior * s_p / n_p
         else:  # step back until the negative risk is no longer below zero
             d_u, d_p = -s_u / n_u, prior * s_p / n_p
-        grad = np.bincount(cp, d_p[rp], dim + 1) + np.bincount(cu, d_u[ru], dim + 1)
+        grad = sums(cp, d_p[rp], dim + 1) + sums(cu, d_u[ru], dim + 1)
         grad[dim] += d_p.sum() + d_u.sum()
         grad[:dim] += decay * w[:dim]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2

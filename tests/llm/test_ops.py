@@ -488,3 +488,9 @@ def test_most_frequent_is_bounded(spark):
     df = spark.createDataFrame([(i, n) for i, n in enumerate([1] * 50 + [2] * 10 + [100, 90, 7])], "w int, n long")
     assert {r.n for r in most_frequent(df, "n", 20).collect()} == {2, 7, 90, 100} and most_frequent(df, "n", 12).count() == 3
     assert most_frequent(df.where("n = 1"), "n", 10).count() == 0 and most_frequent(df.where("false"), "n", 5).count() == 0
+
+
+def test_risk_without_features():
+    none = np.empty(0, np.int64)
+    w, b = toxicity.nn_pu_fit([none] * 3, [none] * 9, 0, 0.2)
+    assert len(w) == 0 and np.isfinite(b)
