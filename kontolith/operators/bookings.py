@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kontolith.functions import money
 from kontolith.functions import patterns as P
 from kontolith.operators.headers import bare_sign, bare_value, delaminated_pages
 from kontolith.operators.lines import DOC

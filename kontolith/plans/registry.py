@@ -5,6 +5,7 @@ Each query applies its operator to whole tables. ``@query`` registers a function
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,7 +13,6 @@ from pyspark.sql import functions as F
 
 from kontolith import schemas as S
 from kontolith.functions import fields, masking, money
-from kontolith.functions import patterns as P
 from kontolith.operators import cadence, categorize, control, dates, headers, lines, merge, recurring, repair, views
 from kontolith.plans import statements
 from kontolith.plans.lens import CADENCE_SQL, LEDGER_SQL, cadence_ledger, ledger, statement_texts, table
@@ -32,9 +32,6 @@ def query(sql: str | None = None):
     return register
 
 
-CT = "CAST(round(abs({x}) * 100) AS BIGINT)"
-
-
 def _share(total: str, n: str) -> str:
     """DuckDB: a decimal over an integer, half away from zero, in cents."""
     ct = f"CAST({total} * 100 AS BIGINT)"
@@ -226,8 +223,7 @@ def recurring_detect(spark, d):
 
 
 @query(
-    f"""WITH r AS (SELECT l_partkey, l_orderkey, l_linenumber, CAST(l_extendedprice AS DECIMAL(18,2)) AS b FROM lineitem),
- w AS (SELECT l_partkey, l_orderkey, l_linenumber, CAST(l_extendedprice AS DECIMAL(18,2)) AS b, lag(CAST(l_extendedprice AS DECIMAL(18,2))) OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS v FROM lineitem)
+    f"""WITH w AS (SELECT l_partkey, l_orderkey, l_linenumber, CAST(l_extendedprice AS DECIMAL(18,2)) AS b, lag(CAST(l_extendedprice AS DECIMAL(18,2))) OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS v FROM lineitem)
  SELECT l_partkey, l_orderkey, l_linenumber, CASE WHEN b > v THEN 'Preiserhoehung: ' || {_german('v')} || ' -> ' || {_german('b')} WHEN b < v THEN 'Betragsaenderung: ' || {_german('v')} || ' -> ' || {_german('b')} END AS vermerk FROM w"""
 )
 def price_change_note(spark, d):
@@ -420,7 +416,6 @@ def append_stream(spark, d):
     from kontolith.plans.cuts import shared_dir
     from kontolith.sources.readers import read_state
     from kontolith.streaming.append import merge_batch
-    import uuid
 
     place = f"{shared_dir(spark)}/kontolith-ledger/stream-{uuid.uuid4().hex}"
     statement_texts(spark, d).write.parquet(f"{place}/in")
