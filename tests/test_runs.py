@@ -37,3 +37,14 @@ def test_run_twice_keeps_each_booking_once(spark, tmp_path):
 def test_settings(tmp_path):
     (tmp_path / "s.json").write_text('{"batch": 3, "other": 1}')
     assert load_settings(str(tmp_path / "s.json")).batch == 3 and load_settings(str(tmp_path / "none")) == Settings() == load_settings()
+
+
+def test_bad_documents_have_an_error(spark, tmp_path):
+    from kontolith.sources import recognise
+
+    (tmp_path / "a.pdf").write_bytes(b"no pdf")
+    (tmp_path / "b.txt").write_text("x")
+    got = recognise.recognised_texts(spark, str(tmp_path)).collect()
+    assert [(r.quelle_pdf, r.ocr_text) for r in got] == [("a.pdf", None)] and got[0].fehler
+    assert [recognise.page_number(x) for x in ("page-2.png", "page-10.png", "page.png")] == [2, 10, 0]
+    assert isinstance(recognise.missing_programs(), list) and (recognise.has_language("nirgendwo") is False)
