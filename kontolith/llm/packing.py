@@ -28,7 +28,7 @@ GROUP_PIECES = 3000
 
 
 #: Chunks whose ids a Python worker keeps in each of two generations; about 200 bytes each.
-KEPT_CHUNKS = 350_000
+KEPT_CHUNKS = 450_000
 #: Lower-case Latin words with closing punctuation: one token sequence for the word, one for the punctuation.
 _PLAIN = re.compile("[a-zß-öø-ÿ]+([.,;:!?]*)")
 
@@ -51,7 +51,7 @@ class ChunkIds:
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")  # without offsets
 
     def learn(self, chunks: set[str]) -> None:
         plain, parts = [], []
