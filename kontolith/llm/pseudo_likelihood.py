@@ -2,35 +2,44 @@
 
 Every token is predicted from the tokens on both its sides: a class given the two neighbouring classes by a small network
 (an embedding per side, a tanh layer, a softmax), then the word within its class by corpus counts. Frequent words are
-classes of their own, rarer ones share a class by frequency, words outside the vocabulary are one class.
+classes of their own, rarer ones share a class by frequency, words outside the vocabulary are one class. The vocabulary,
+which every task holds, grows with the square root of the words counted and the classes with the sixth root of the
+tokens; the counts of all other words stay a table, to which their occurrences are joined, so each has its own probability.
 
 What is learned comes from all documents: word counts, and how often each class stands between each two classes. These
 counts are all that the network needs to be trained on every token of the corpus, so training in numpy on the driver
-takes the same time for any corpus, and its result doesn't depend on how the rows are dealt out.
+takes time by the classes only (the square root of the corpus), and its result doesn't depend on how the rows are dealt out.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kontolith.llm.common import cut, drop_cut, map_batches, most_frequent
+from kontolith.llm.common import cut, map_batches, most_frequent
 from kontolith.llm.words import WordHasher
 
+#: Tokens up to which the classes are as many as asked for.
+LEAST_TOKENS = 1 << 24
+#: Logarithms of counts are summed as integers of this unit, so that sums don't depend on their order.
+UNIT = float(1 << 32)
+
 
 @dataclass
 class WindowModel:
     words: np.ndarray  # sorted word hashes of the vocabulary
     classes: np.ndarray  # their classes
     within: np.ndarray  # log probability of each within its class
-    outside: float  # log probability of a word of the last class, which holds what is not in the vocabulary
+    outside: float  # log probability of a word counted once of the last class, which holds what is not in the vocabulary
     log_p: np.ndarray  # [left, right, class]; the edge of a text is class number n_classes
     n_classes: int
     perplexity: float
+    rare: DataFrame  # (word, n) of the last class, counted more than once
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -97,12 +106,16 @@ def train_network(counts: np.ndarray, width: int = 32, rounds: int = 300, rate:
     side, _, k = counts.shape
     n = counts.reshape(side * side, k).astype(float)
     total = n.sum()
-    l, r = np.divmod(np.arange(side * side), side)
+    at = np.flatnonzero(n.any(1))  # contexts that occur; the others add nothing to the gradient
+    n = n[at]
+    seen = n.sum(1, keepdims=True)
+    l, r = np.divmod(at, side)
+    of_l, of_r = (np.equal.outer(np.arange(side), x).astype(float) for x in (l, r))
     rng = np.random.default_rng(seed)
     p = {"l": rng.normal(0, 0.1, (side, width)), "r": rng.normal(0, 0.1, (side, width)), "b": np.zeros(width), "w": rng.normal(0, 0.1, (width, k)), "c": np.log((n.sum(0) + 1) / (total + k))}
     m, v = {a: np.zeros_like(x) for a, x in p.items()}, {a: np.zeros_like(x) for a, x in p.items()}
 
-    def forward():
+    def forward(l=l, r=r):
         h = np.tanh(p["l"][l] + p["r"][r] + p["b"])
         z = h @ p["w"] + p["c"]
         z -= z.max(1, keepdims=True)
@@ -110,25 +123,39 @@ def train_network(counts: np.ndarray, width: int = 32, rounds: int = 300, rate:
 
     for t in range(1, rounds + 1 if total else 1):
         h, logs = forward()
-        d = (np.exp(logs) * n.sum(1, keepdims=True) - n) / total
+        d = (np.exp(logs) * seen - n) / total
         dh = (d @ p["w"].T) * (1 - h * h)
-        grad = {"w": h.T @ d, "c": d.sum(0), "b": dh.sum(0), "l": dh.reshape(side, side, width).sum(1), "r": dh.reshape(side, side, width).sum(0)}
+        grad = {"w": h.T @ d, "c": d.sum(0), "b": dh.sum(0), "l": of_l @ dh, "r": of_r @ dh}
         for a in p:
             m[a] = 0.9 * m[a] + 0.1 * grad[a]
             v[a] = 0.999 * v[a] + 0.001 * grad[a] ** 2
             p[a] = p[a] - rate * (m[a] / (1 - 0.9**t)) / (np.sqrt(v[a] / (1 - 0.999**t)) + 1e-9)
-    _, logs = forward()
-    return logs.reshape(side, side, k), float(np.exp(-(n * logs).sum() / total)) if total else 1.0
+    _, logs = forward(*np.divmod(np.arange(side * side), side))
+    return logs.reshape(side, side, k), float(np.exp(-(n * logs[at]).sum() / total)) if total else 1.0
+
+
+def grown(n_classes: int, own: int, tokens: int) -> tuple[int, int]:
+    """Classes and words of their own for so many tokens: their windows grow with the square root of the tokens."""
+    times = max(1.0, tokens / LEAST_TOKENS) ** (1 / 6)
+    return int(n_classes * times), int(own * times)
 
 
-def fit(docs: DataFrame, vocabulary: int = 50_000, n_classes: int = 64, own: int = 40) -> WindowModel:
-    """Count, form classes and train. The vocabulary is the most frequent words of all documents, at most ``vocabulary``."""
+def fit(docs: DataFrame, vocabulary: int = 50_000, n_classes: int = 64, own: int = 40, growth: int = 64) -> WindowModel:
+    """Count, form classes and train.
+
+    The vocabulary is the most frequent words of all documents, at most ``vocabulary`` or ``growth`` times the root of
+    all words if that is more. ``n_classes`` and ``own`` hold for small tables (see :func:`grown`).
+    """
     counted = cut(word_counts(docs), "word-counts")
     tokens, types = counted.agg(F.sum("n"), F.count("*")).first()
     tokens = tokens or 0
-    top = sorted(most_frequent(counted, "n", vocabulary).collect(), key=lambda r: (-r.n, r.word))
-    drop_cut(counted)
-    h, n = np.array([r.word for r in top], np.int64).view(np.uint64), np.array([r.n for r in top], np.int64)
+    n_classes, own = grown(n_classes, own, tokens)
+    vocabulary = max(vocabulary, growth * isqrt(types))
+    top = most_frequent(counted, "n", vocabulary).toArrow()
+    h, n = top.column("word").to_numpy(), top.column("n").to_numpy()
+    order = np.lexsort((h, -n))
+    h, n = np.ascontiguousarray(h[order]).view(np.uint64), n[order]
+    rare = counted.where((F.col("n") > 1) & (F.col("n") < int(n[-1]))) if len(n) else counted.where("n > 1")
     # ranks 0 .. own-1 alone, the others in bins of equal ratio, the last class for what is outside
     rank = np.arange(len(h))
     shared = n_classes - 1 - own
@@ -136,7 +163,7 @@ def fit(docs: DataFrame, vocabulary: int = 50_000, n_classes: int = 64, own: int
     classes = np.where(rank < own, rank, own + np.minimum((np.log(np.maximum(rank, own) / own) / ratio).astype(int), shared - 1))
     class_sum = np.bincount(classes, n, n_classes) if len(h) else np.zeros(n_classes)
     within = np.log(n / class_sum[classes]) if len(h) else np.empty(0)
-    outside = -float(np.log(max(1, types - len(h)) + 1))
+    outside = -float(np.log(max(1, tokens - int(n.sum()))))
     order = np.argsort(h)
     words, classes, within = h[order], classes[order], within[order]
     side = n_classes + 1
@@ -144,30 +171,41 @@ def fit(docs: DataFrame, vocabulary: int = 50_000, n_classes: int = 64, own: int
     got = window_counts(docs, words, classes, n_classes).toArrow()  # at most side * side * n_classes rows
     cells[got.column("cell").to_numpy()] = got.column("n").to_numpy()
     log_p, perplexity = train_network(cells.reshape(side, side, n_classes))
-    return WindowModel(words, classes, within, outside, log_p.astype(np.float32), n_classes, perplexity)
+    return WindowModel(words, classes, within, outside, log_p.astype(np.float32), n_classes, perplexity, rare)
 
 
 def score(docs: DataFrame, model: WindowModel) -> DataFrame:
-    """``(doc_id, n_tokens, n_outside, log_prob, mean_log_prob)`` per row; no tokens: 0 and a null mean."""
+    """``(doc_id, n_tokens, n_outside, log_prob, mean_log_prob)`` per row; no tokens: 0 and a null mean.
+
+    A word outside the vocabulary has its count over all tokens outside; one that was never counted is taken as counted once.
+    """
+    words, classes, within, outside, log_p, n_classes = model.words, model.classes, model.within, model.outside, model.log_p, model.n_classes
 
     def make():
         hasher = WordHasher(lower=True)
 
         def step(batch: pa.RecordBatch):
-            h, counts = hasher(batch.column(1))
-            c, at = _classes_of(h, model.words, model.classes, model.n_classes)
-            left, right = _windows(c, counts, model.n_classes)
-            own = np.where(at >= 0, model.within[at] if len(model.within) else 0.0, model.outside)
-            logs = model.log_p[left, right, c].astype(float) + own
+            h, counts = hasher(batch.column(2))
+            c, at = _classes_of(h, words, classes, n_classes)
+            left, right = _windows(c, counts, n_classes)
+            own = np.where(at >= 0, within[at] if len(within) else 0.0, outside)
+            logs = log_p[left, right, c].astype(float) + own
             row = np.repeat(np.arange(len(counts)), counts)
             total = np.bincount(row, logs, len(counts))
             missing = np.bincount(row, at < 0, len(counts)).astype(np.int64)
-            mean = pa.array(total / np.maximum(counts, 1), mask=counts == 0)
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(missing), pa.array(total), mean], ["doc_id", "n_tokens", "n_outside", "log_prob", "mean_log_prob"])
+            ends = np.concatenate(([0], np.cumsum(missing))).astype(np.int32)
+            rare = pa.ListArray.from_arrays(pa.array(ends), pa.array(h[at < 0].view(np.int64)))
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts), pa.array(missing), pa.array(total), rare], ["rid", "doc_id", "n_tokens", "n_outside", "log_prob", "rare"])
 
         return step
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), make, "doc_id long, n_tokens long, n_outside long, log_prob double, mean_log_prob double")
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    held = cut(map_batches(rows, make, "rid long, doc_id long, n_tokens long, n_outside long, log_prob double, rare array<long>"), "window-scores")
+    counted = held.select("rid", F.explode("rare").alias("word")).join(model.rare, "word")
+    more = counted.groupBy("rid").agg(F.sum(F.round(F.log(F.col("n").cast("double")) * UNIT).cast("long")).alias("more"))
+    total = F.col("log_prob") + F.coalesce(F.col("more"), F.lit(0)) / F.lit(UNIT)
+    out = held.drop("rare").join(more, "rid", "left").withColumn("log_prob", total)
+    return out.select("doc_id", "n_tokens", "n_outside", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob"))
 
 
 def pseudo_likelihood(docs: DataFrame, **how) -> DataFrame:

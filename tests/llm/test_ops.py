@@ -134,6 +134,26 @@ def test_network_learns_counts():
     assert pseudo_likelihood.train_network(np.zeros((3, 3, 2)))[1] == 1.0
 
 
+def test_rare_words_have_their_own_probability(spark):
+    """Beyond the vocabulary too, a word is scored by its count."""
+    texts = ["a b a b a b a b"] * 20 + ["b often a", "b seldom a"] + ["often"] * 6 + ["seldom"]
+    docs = documents(spark, texts)
+    model = pseudo_likelihood.fit(docs, vocabulary=2, n_classes=4, own=2, growth=0)
+    got = {r.doc_id: r for r in pseudo_likelihood.score(docs, model).collect()}
+    assert got[20].n_outside == got[21].n_outside == 1 and len(model.words) == 2
+    assert abs(got[20].log_prob - got[21].log_prob - np.log(7 / 2)) < 1e-6
+    c = model.n_classes - 1
+    assert abs(got[22].log_prob - model.log_p[c + 1, c + 1, c] - np.log(7 / 9)) < 1e-6
+    new = pseudo_likelihood.score(documents(spark, ["never"]), model).first()
+    assert abs(new.log_prob - model.log_p[c + 1, c + 1, c] - np.log(1 / 9)) < 1e-6
+
+
+def test_classes_and_vocabulary_grow(spark):
+    assert pseudo_likelihood.grown(64, 40, 1000) == (64, 40) and pseudo_likelihood.grown(64, 40, 1 << 30) == (128, 80)
+    docs = documents(spark, [" ".join(f"w{x} w{x}" for x in range(400))])
+    assert len(pseudo_likelihood.fit(docs, vocabulary=10, n_classes=8, own=4).words) == 400
+
+
 # --- 3 WARC --------------------------------------------------------------------------------------------------------
 
 
