@@ -477,6 +477,15 @@ def test_differencing_removes_templates(spark):
     assert page_diff.extract_text(pages.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("tag", ["main", "div role=main", "div class=post", "section class='entry wide'", "div class='story'", "div id=main-content", "div class='main-content wide'"])
+def test_copies_and_quotations_in_a_main_part_stay(spark, tag):
+    page = lambda *body: f"<body><div>Home page of us</div><{tag}>{''.join(f'<p>{x}</p>' for x in body)}</{tag.split()[0]}><div>Call us now</div></body>"
+    rows = [(1, "http://h/a/1", page("one", "two")), (2, "http://h/a/2", page("one", "two")), (3, "http://q/a/1", page("said", "three")), (4, "http://q/a/2", page("four", "said"))]
+    got = {r.page_id: r for r in page_diff.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i].text for i in (1, 2, 3, 4)] == ["one\ntwo", "one\ntwo", "said\nthree", "four\nsaid"]
+    assert all(r.n_shared for r in got.values())
+
+
 # --- pipeline ------------------------------------------------------------------------------------------------------
 
 
