@@ -25,8 +25,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found on many sites stay in one document only; documents of which nothing is left go."""
-    return line_spread.dedup_lines(docs)
+    """Lines of any length found on many sites stay in one document only; documents of which nothing is left go."""
+    return line_spread.dedup_lines(docs, min_words=1)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

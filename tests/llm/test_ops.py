@@ -434,6 +434,15 @@ def test_line_stage(spark):
     assert line_spread.dedup_lines(docs).columns == docs.columns and kept[25].text is None and kept[26].text == ""
 
 
+def test_line_stage_takes_short_lines(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    texts = [f"own text {i}\n\nAll rights reserved.\n Les.\t\nhere {i % 7}" for i in range(20)] + ["Les.", None, ""]
+    docs = documents(spark, texts, sources=[f"s{i % 10}" for i in range(23)])
+    kept = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, "").collect()}
+    assert kept[0] == texts[0] and 20 not in kept and kept[21] is None and kept[22] == ""
+    assert all(kept[i] == f"own text {i}\n\nhere {i % 7}" for i in range(1, 20))  # blank lines and lines on few sites stay
+
+
 # --- 10 pages ------------------------------------------------------------------------------------------------------
 
 PAGE = (
