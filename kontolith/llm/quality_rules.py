@@ -15,6 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from kontolith.llm.common import as_bytes, cut, map_batches, mix64
 from kontolith.llm.words import WordHasher
@@ -101,7 +102,7 @@ def text_statistics(docs: DataFrame, keep: list[str] | None = None) -> DataFrame
         return step
 
     src = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", " + STATS
+    schema = StructType([*docs.select(*keep).schema, *(StructField(n, LongType()) for n in names)])
     return map_batches(src, make, schema)
 
 
@@ -263,9 +264,13 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, **how) -> DataFrame:
-    """``docs`` (all columns) without what the base rules or the learned rules reject."""
+    """``docs`` (all columns) without what the base rules or the learned rules reject.
+
+    Null and empty texts fail the base rules and go; repeated rows and rows with a null id are judged each by their own
+    text; ties don't occur, as no order enters; an empty table gives no rows; columns of any name stay.
+    """
     some = labelled_sample(labels, max_rows)
     taught = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some.select("doc_id").distinct()), "doc_id", "left_semi")
     rules = fit(text_statistics(taught), labels, max_rows, **how)
     flat = text_statistics(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "text"), ["_row"])
-    return verdicts(flat, rules).where("kept").select("_row.*")
+    return verdicts(flat, rules).where("kept").select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from kontolith.llm.common import BoundedCache, cut, drop_cut, fold_id, map_batches
 
@@ -80,11 +81,12 @@ def nn_pu_fit(x_p: list[np.ndarray], x_u: list[np.ndarray], dim: int, prior: flo
     return w[:dim], float(w[dim])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 6000, max_unlabelled: int = 12000, least_z: float = 5.0, max_features: int = 20000) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 6000, max_unlabelled: int = 12000, least_z: float = 5.0) -> ToxicityModel:
     """Learn from ``labels`` (``doc_id, toxic``) and unlabelled ``docs``, both only where crc32(doc_id) modulo 3 is not 1.
 
     The class prior is the share of toxic rows among the labelled ones used. Features kept: those that positives have
-    significantly more often than unlabelled texts (``least_z``). Without positives every score is 0.
+    significantly more often than unlabelled texts (``least_z``); each is in four positives at least, so the sample bounds
+    their number. Without positives every score is 0.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where((fold_id() != 1) & F.col("toxic").isin(0, 1))
     n_known, n_toxic = known.agg(F.count("*"), F.sum("toxic")).first()
@@ -119,8 +121,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 6000, max_unlabe
     both = (F.col("p") + F.col("u")) / (n_p + n_u)
     z = (share_p - share_u) / F.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u) + 1e-12)
     counted = sample.select("p", "u", F.explode("features").alias("f")).groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    strong = counted.where((z >= least_z) & (F.col("p") >= 4) & (share_p >= 2.0 * share_u)).select("f", z.alias("z"))
-    picked = sorted(r.f for r in strong.orderBy(F.desc("z"), "f").limit(max_features).collect())
+    strong = counted.where((z >= least_z) & (F.col("p") >= 4) & (share_p >= 2.0 * share_u)).select("f")
+    picked = sorted(r.f for r in strong.collect())
     at = {f: i for i, f in enumerate(picked)}
     wanted = np.array(picked, np.int64)
 
@@ -139,11 +141,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 6000, max_unlabe
     return ToxicityModel({f: float(w[i]) for f, i in at.items() if w[i]}, bias, prior, len(x_p), len(x_u))
 
 
-def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
-    """``(doc_id, held_out, score, predicted)`` per row; null and empty texts get the score of a text without any feature.
-
-    ``held_out`` of a null id is false.
-    """
+def text_scores(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:
+    """The ``keep`` columns and ``score`` per row of ``docs``, from the whole ``_text``."""
     weights, bias = model.weights, model.bias
 
     def make():
@@ -154,40 +153,37 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> Data
                 yield one(whole.slice(at, 500))
 
         def one(batch: pa.RecordBatch):
-            out = []
-            for text in batch.column(1).to_pylist():
-                g = bias + sum(weights[f] for f in sorted(text_features(text, cache)))
-                out.append(0.5 * (1 + float(np.tanh(g / 2))))
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.float64()), pa.array([int(s >= threshold) for s in out], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
+            risks = np.array([bias + sum(weights[f] for f in sorted(text_features(t, cache))) for t in batch.column(len(keep)).to_pylist()], float)
+            return pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(0.5 * (1 + np.tanh(risks / 2)))], [*keep, "score"])
 
         return step
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_batches(rows.select("doc_id", "text", F.coalesce(fold_id() == 1, F.lit(False)).alias("held_out")), make, "doc_id long, held_out boolean, score double, predicted int")
+    schema = StructType([*docs.select(*keep).schema, StructField("score", DoubleType())])
+    return map_batches(docs.select(*keep, "_text"), make, schema)
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **bounds) -> DataFrame:
-    """Fit and score. ``docs``: ``doc_id, text``; ``labels``: ``doc_id, toxic``; other columns never enter. Empty tables give no rows."""
-    return score(docs, fit(docs, labels, **bounds), threshold)
-
+def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
+    """``(doc_id, held_out, score, predicted)`` per row; null and empty texts get the score of a text without any feature.
 
-def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **bounds) -> DataFrame:
-    """``docs`` (all columns) without the texts predicted toxic."""
-    model = fit(docs, labels, **bounds)
-    weights, bias = model.weights, model.bias
-    names = docs.columns
+    ``held_out`` of a null id is false.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("_text"))
+    out = text_scores(rows.withColumn("held_out", F.coalesce(fold_id() == 1, F.lit(False))), model, ["doc_id", "held_out"])
+    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
-    def make():
-        cache = BoundedCache(lambda w: tuple(f for f in word_features(w) if f in weights), 250_000)
 
-        def step(whole: pa.RecordBatch):
-            for at in range(0, whole.num_rows, 500):
-                yield one(whole.slice(at, 500))
+def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **bounds) -> DataFrame:
+    """Fit and score. ``docs``: ``doc_id, text``; ``labels``: ``doc_id, toxic``; other columns never enter. Empty tables give no rows."""
+    return score(docs, fit(docs, labels, **bounds), threshold)
 
-        def one(batch: pa.RecordBatch):
-            keep = [0.5 * (1 + float(np.tanh((bias + sum(weights[f] for f in sorted(text_features(t, cache)))) / 2))) < threshold for t in batch.column(names.index("text")).to_pylist()]
-            return batch.filter(pa.array(keep, pa.bool_()))
 
-        return step
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fit_on: DataFrame | None = None, **bounds) -> DataFrame:
+    """``docs`` (all columns) without the texts predicted toxic.
 
-    return map_batches(docs, make, docs.schema)
+    The model learns from ``fit_on`` (default ``docs``): a stage that follows others passes the unfiltered table, of which
+    the labels speak, so that a filter before it takes no confirmed example away. Null and empty texts, repeated rows and
+    rows with a null id are judged by their text like any other; an empty table gives no rows; columns of any name stay.
+    """
+    flat = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("text").cast("string").alias("_text"))
+    scored = text_scores(flat, fit(docs if fit_on is None else fit_on, labels, **bounds), ["_row"])
+    return scored.where(F.col("score") < threshold).select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
