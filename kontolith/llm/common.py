@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -18,11 +19,12 @@ MIX_1, MIX_2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Only where the session names none (tests, one machine) is a local one set."""
-    place = spark.conf.get(CHECKPOINT_KEY, None)
+    """The folder that all executors share. Only where the session names none and runs on one machine a local one is set."""
+    place = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if not place:
-        set_dir = spark.sparkContext.getCheckpointDir()
-        place = set_dir or f"file://{tempfile.mkdtemp(prefix='kontolith-shared-')}"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
+        place = f"file://{tempfile.mkdtemp(prefix='kontolith-shared-')}"
         spark.conf.set(CHECKPOINT_KEY, place)
     return place.rstrip("/")
 
@@ -115,20 +117,67 @@ def mix64(x):
     return x ^ (x >> np.uint64(31))
 
 
-def most_frequent(counted: DataFrame, n: str, most: int) -> DataFrame:
-    """Rows of a table with the largest counts ``n`` (at least 1), at most ``most``: whole frequency classes from the top.
+def most_frequent(counted: DataFrame, key: str, n: str, most: int) -> Column:
+    """A condition for the rows with the largest counts ``n`` (at least 1), about ``most`` at most: whole frequency
+    classes from the top, and of the class that would exceed ``most`` those with the smallest hashes of ``key``.
 
     Only a row per class (a sixteenth of a doubling) is gathered, however many partitions the table has.
     """
     level = F.floor(F.log2(F.col(n).cast("double")) * 16).cast("int")
     sizes = sorted(((r.level, r.k) for r in counted.groupBy(level.alias("level")).agg(F.count("*").alias("k")).collect()), reverse=True)
-    least, held = None, 0
-    for lv, k in sizes:
+    held = 0
+    for at, k in sizes:
+        if held + k > most:
+            share = int((most - held) / k * (1 << 30))
+            return (level > at) | ((level == at) & (F.pmod(F.xxhash64(key), F.lit(1 << 30)) < share))
         held += k
-        if held > most:
-            break
-        least = lv
-    return counted.where(F.lit(False)) if least is None else counted.where(level >= least)
+    return F.lit(True)
+
+
+#: A key is hot with more than a ten-thousandth of all rows, so at most so many keys are; and with more than so few.
+HOT_KEYS, HOT_LEAST = 10_000, 100
+
+
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, add: list[str]) -> DataFrame:
+    """``left`` with the columns ``add`` of ``right``, inner. ``right``: a table with one row per key; ``weight``: the key's rows of ``left``.
+
+    Rows of hot keys get ``add`` from a broadcast, at most ``HOT_KEYS`` rows by the definition of hot; all others by a
+    shuffle, in which the former are spread by their content and match nothing. So no key's rows meet in one task.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    packed = right.select(*keys, weight, F.struct(*add).alias("_add"))
+    hot = packed.where(F.col(weight) > max(HOT_LEAST, total // HOT_KEYS)).select(*keys, F.col("_add").alias("_hot"))
+    marked = left.join(F.broadcast(hot), keys, "left")
+    spread = F.when(F.col("_hot").isNull(), F.col(keys[0])).otherwise(F.xxhash64(*(F.col(c) for c in left.columns)))
+    cold = packed.where(F.col(weight) <= max(HOT_LEAST, total // HOT_KEYS)).select(F.col(keys[0]).alias("_k0"), *(F.col(k).alias(f"_{k}") for k in keys[1:]), F.col("_add").alias("_cold"))
+    same = F.col("_spread") == F.col("_k0")
+    for k in keys[1:]:
+        same = same & (F.col(k) == F.col(f"_{k}"))
+    joined = marked.withColumn("_spread", spread).join(cold, same, "left").withColumn("_got", F.coalesce("_hot", "_cold")).where("_got is not null")
+    return joined.select(*left.columns, *(F.col(f"_got.{c}").alias(c) for c in add))
+
+
+#: Words of 64 bits of the filter that is sent to all tasks: its size is bounded whatever the number of keys.
+FILTER_WORDS = 1 << 20
+
+
+def _place(keys: list[str]) -> tuple[Column, Column]:
+    h = "xxhash64({}, {})".format(", ".join(f"`{k}`" for k in keys), "{}")
+    bits = [f"shiftleft(1L, cast(pmod({h.format(i)}, 64) as int))" for i in (2, 3)]
+    return F.expr(f"pmod({h.format(1)}, {FILTER_WORDS})"), F.expr(f"({bits[0]} | {bits[1]})")
+
+
+def split_by_keys(rows: DataFrame, keyed: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose key may be in ``keyed``, and those whose key surely is not, by a filter of bounded size.
+
+    Only the former need a shuffle to meet ``keyed``. With more keys than the filter tells apart the first part grows
+    towards all rows; no row is ever in the wrong one. Null keys are in the first part.
+    """
+    word, bits = _place(keys)
+    held = F.broadcast(keyed.groupBy(word.alias("_word")).agg(F.bit_or(bits).alias("_held")))  # FILTER_WORDS rows at most
+    marked = rows.withColumn("_word", word).withColumn("_bits", bits).join(held, "_word", "left")
+    sure = F.col("_held").isNull() | (F.col("_held").bitwiseAND(F.col("_bits")) != F.col("_bits"))
+    return marked.where(~sure).select(*rows.columns), marked.where(sure).select(*rows.columns)
 
 
 def fold_id(held: str = "doc_id"):

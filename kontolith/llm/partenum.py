@@ -5,14 +5,19 @@ For a pair of neighbouring bands the symmetric difference of a linked pair is at
 split into ``n1`` partitions, each of ``n2`` parts: if at most ``k`` elements differ, then some partition holds at most one
 of them and ``n2 - 1`` of its parts are the same in both sets. Enumerating the subsets that leave one part out gives
 signatures, and linked sets share at least one. Two parts give the fewest signatures; for lower thresholds, where a part
-holds few elements, three make them more telling. ``e`` spare partitions let a set leave out signatures without
-elements, which would be common to many unrelated sets: a linked pair has at least ``1 + e`` good partitions, so while at
-most ``e`` partitions of one of its sets have such a signature, a good partition without one remains.
+holds few elements, three make them more telling. Where ``k`` is 1, every element is a part: a set signs its whole content
+and its content less each element, and only a whole content meets a lessened one. Where ``k`` is 0, linked sets are equal.
+
+A signature without elements would be common to many unrelated sets, so none is ever made. ``e`` spare partitions allow
+that: a linked pair has at least ``1 + e`` good partitions, so while at most ``e`` partitions of one of its sets have such
+a signature, a good partition without one remains. A set with more of them signs again under another hashing of the
+domain, until one fits; a linked pair then shares a telling signature under the hashing at which the first of the two ends.
 
 Candidates are checked on the exact sets. Within a signature's bucket every set is first compared with the smallest one;
-after uniting, only pairs that still lie in different components are compared, so a bucket of n near copies costs n
-comparisons, and no pair is lost: a skipped pair already shares its component. Before their texts are read, pairs whose
-sizes or parity bits already rule a link out are left; both tests hold for every linked pair.
+after uniting, members of what is still in different components are compared block against block, so that a bucket of n
+near copies costs n comparisons, no task holds more than two blocks, and no pair is lost: a skipped pair already shares
+its component. Before their texts are read, pairs whose sizes or parity bits already rule a link out are left; both tests
+hold for every linked pair.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from kontolith.llm.common import BoundedCache, cut, drop_cut, map_batches, mix64
+from kontolith.llm.common import BoundedCache, cut, drop_cut, hot_join, map_batches, mix64, split_by_keys
 from kontolith.llm.components import connected_components
 from kontolith.llm.words import WordHasher
 
@@ -42,7 +47,7 @@ def shingle_sets(column: pa.Array, width: int, hasher: WordHasher) -> list[np.nd
     """
     w, counts = hasher(column)
     h = np.zeros(len(w), np.uint64)
-    for i in range(width):
+    for i in range(min(width, len(w))):
         h[: len(w) - i] += w[i:] * _MULT[i]
     h = mix64(h)
     out, at = [], 0
@@ -76,39 +81,63 @@ def band_ends(percent: int, upto: int = 1 << 40) -> tuple[int, ...]:
 
 
 @lru_cache(maxsize=4096)
-def _instance(band: int, percent: int) -> tuple[int, int, np.ndarray, np.ndarray]:
-    """Parts a partition, spare partitions, the inner limits of all parts and a tag for each signature, for sets of ``band`` and ``band + 1``."""
+def _instance(band: int, percent: int) -> tuple[int, int, int, np.ndarray, np.ndarray]:
+    """The symmetric difference of linked sets at most, parts a partition, spare partitions, the inner limits of all parts and a tag for each signature, for sets of ``band`` and ``band + 1``."""
     ends = band_ends(percent)
     k = (ends[band] + ends[band + 1]) * (100 - percent) // (100 + percent)
-    spare = 0 if k < 2 else 1 + k // 40
+    spare = 1 + k // 40
     parts = 2 if percent >= 85 else 3
     n = parts * (k // 2 + 1 + spare)
+    if (ends[band - 1] if band else 0) + 1 < 2 * n // parts:
+        spare = -1  # a threshold so low that the smallest sets have hardly an element a partition
     limits = np.array([(j << 64) // n for j in range(1, n)], dtype=np.uint64)
-    return parts, spare, limits, mix64(np.arange(1, n + 1, dtype=np.uint64) * _MULT[4] + np.uint64((band + 1) * int(_MULT[5]) & _ALL))
+    return k, parts, spare, limits, mix64(np.arange(1, n + 1, dtype=np.uint64) * _MULT[4] + np.uint64((band + 1) * int(_MULT[5]) & _ALL))
+
 
+def signatures(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The PartEnum signatures of a sorted set as int64, and which of them are lessened contents; empty for an empty set.
 
-def signatures(s: np.ndarray, percent: int) -> np.ndarray:
-    """The PartEnum signatures of a sorted set as int64; empty for an empty set."""
+    Two sets are candidates if they share a signature that is not lessened in both.
+    """
     n = len(s)
     if not n:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, bool)
     band = bisect_left(band_ends(percent), n)
-    run = np.empty(n + 1, np.uint64)
-    run[0] = 0
-    np.cumsum(s, out=run[1:])
-    out = []
+    out, less = [], []
     for instance in (band - 1, band) if band else (band,):
-        parts, spare, limits, tags = _instance(instance, percent)
-        at = np.empty(len(limits) + 2, np.int64)
-        at[0], at[1:-1], at[-1] = 0, np.searchsorted(s, limits), n
-        bounds, sums = at[::parts], run[at]
-        whole, held = np.repeat(sums[::parts][1:] - sums[::parts][:-1], parts), np.repeat(bounds[1:] - bounds[:-1], parts)
-        sig = (whole - (sums[1:] - sums[:-1])) * _MULT[6] + tags
-        bare = held == at[1:] - at[:-1]
-        if spare and np.count_nonzero(bare.reshape(-1, parts).any(axis=1)) <= spare:
-            sig = sig[~bare]
-        out.append(sig)
-    return np.concatenate(out).view(np.int64)
+        k, parts, spare, limits, tags = _instance(instance, percent)
+        if k == 0:
+            continue
+        if spare < 0:  # linked sets share an element
+            out.append(s * _MULT[6] + tags[0])
+            less.append(np.zeros(n, bool))
+            continue
+        if k == 1:
+            whole = s.sum(dtype=np.uint64)
+            out.append(np.concatenate(([whole], whole - s)) * _MULT[6] + tags[0])
+            less.append(np.arange(n + 1) > 0)
+            continue
+        hashing, e = 0, s
+        while True:
+            run = np.empty(n + 1, np.uint64)
+            run[0] = 0
+            np.cumsum(e, out=run[1:])
+            at = np.empty(len(limits) + 2, np.int64)
+            at[0], at[1:-1], at[-1] = 0, np.searchsorted(e, limits), n
+            bounds, sums = at[::parts], run[at]
+            whole, held = np.repeat(sums[::parts][1:] - sums[::parts][:-1], parts), np.repeat(bounds[1:] - bounds[:-1], parts)
+            sig = (whole - (sums[1:] - sums[:-1])) * _MULT[6] + tags
+            bare = held == at[1:] - at[:-1]
+            out.append(sig[~bare])
+            less.append(np.zeros(len(out[-1]), bool))
+            if np.count_nonzero(bare.reshape(-1, parts).any(axis=1)) <= spare:
+                break
+            hashing += 1
+            e = np.sort(mix64(s + np.uint64(hashing * int(_MULT[7]) & _ALL)))
+            tags = mix64(tags)
+    if not out:
+        return np.empty(0, np.int64), np.empty(0, bool)
+    return np.concatenate(out).view(np.int64), np.concatenate(less)
 
 
 def _parity(s: np.ndarray, bits: int = 512) -> list[int]:
@@ -183,14 +212,14 @@ def _may_link(f: str, g: str, percent: int):
 
 
 def _signature_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """``(sig, doc)``: all signatures, of one row per content key and task (the others of that content are copies)."""
+    """``(doc, sigs, less)``: all signatures, of one row per content key and task (the others of that content are copies)."""
 
     def make():
         words, seen = WordHasher(lower=True), BoundedCache(lambda _: True, 1_000_000)
 
         def step(whole: pa.RecordBatch):
             for batch in _parts(whole):
-                sigs, ids = [], []
+                sigs, less, ids = [], [], []
                 for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), width, words), strict=True):
                     if doc is None or not len(s):
                         continue
@@ -198,28 +227,49 @@ def _signature_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     if key in seen:
                         continue
                     seen[key]
-                    own = signatures(s, percent)
-                    sigs.append(own)
-                    ids.append(np.full(len(own), doc, np.int64))
+                    own, lessened = signatures(s, percent)
+                    if len(own):
+                        sigs.append(own)
+                        less.append(lessened)
+                        ids.append(np.full(len(own), doc, np.int64))
                 if sigs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(ids))], ["sig", "doc"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sigs, ids, less)], ["sig", "doc", "less"])
 
         return step
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), make, "sig long, doc long")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), make, "sig long, doc long, less boolean")
 
 
 #: Rows of an Arrow batch: texts, and pairs of exact sets.
 TEXT_ROWS, PAIR_ROWS = 1000, 250
-#: Ids that are sent to all tasks at most (8 bytes each) to pick texts before a shuffle; more are joined by a shuffle.
-BROADCAST_IDS = 500_000
+#: Members of a bucket that are compared with each other in one task at most, by blocks of this size.
+BLOCK_MEMBERS = 512
+#: Documents, chosen by a hash, whose signatures tell which buckets are large; only the dealing of rows depends on them.
+HEAT_SAMPLE, HEAT_LEAST = 2000, 8
+
+
+def bucket_members(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``(sig, doc, less, a)``: members of buckets that hold a candidate pair, ``a`` being the smallest whole member; a table.
+
+    Buckets that ``HEAT_LEAST`` of some ``HEAT_SAMPLE`` documents share are dealt to many tasks; their smallest members
+    then meet by an aggregation. Such signatures are as few as the sample has, however large the table is.
+    """
+    share = int(1_000_000 * min(1.0, HEAT_SAMPLE / max(1, docs.count()))) + 1
+    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000)) < share)
+    hot = cut(_signature_rows(some, width, percent).groupBy("sig").agg(F.countDistinct("doc").alias("n")).where(F.col("n") >= HEAT_LEAST).select("sig", F.lit(True).alias("hot")), "hot-buckets")
+    salted = _signature_rows(docs, width, percent).join(F.broadcast(hot), "sig", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc"), F.lit(256)).cast("int")).otherwise(-1))
+    bucket = Window.partitionBy("sig", "salt")
+    whole = F.when(~F.col("less"), F.col("doc"))
+    rows = salted.withColumn("a", F.min(whole).over(bucket)).withColumn("low", F.min("doc").over(bucket)).withColumn("high", F.max("doc").over(bucket))
+    found = cut(rows.where("hot or (a is not null and low <> high)").select("sig", "doc", "less", "a", "hot"), "members", TEXT_ROWS)
+    least = found.where("hot").groupBy("sig").agg(F.min("a").alias("least"))  # a row per hot signature
+    return found.join(F.broadcast(least), "sig", "left").select("sig", "doc", "less", F.coalesce("least", "a").alias("a")).where("a is not null")
 
 
 def _sets_of(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """``(id, s)``: the exact sets of the documents ``ids``, as a table."""
     ids = cut(ids.distinct(), "ids")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("t"))
-    few = ids.count() <= BROADCAST_IDS
 
     def make():
         words = WordHasher(lower=True)
@@ -233,7 +283,8 @@ def _sets_of(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
 
         return step
 
-    out = cut(map_batches(texts.join(F.broadcast(ids) if few else ids, "id", "left_semi"), make, "id long, s array<long>"), "exact-sets", TEXT_ROWS)
+    wanted = split_by_keys(texts, ids, ["id"])[0].join(ids.hint("merge"), "id", "left_semi")
+    out = cut(map_batches(wanted, make, "id long, s array<long>"), "exact-sets", TEXT_ROWS)
     drop_cut(ids)
     return out
 
@@ -281,42 +332,53 @@ def jaccard_classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     real = slim.where("n_shingles > 0 and doc_id is not null")
     content = ["n_shingles", "key_a", "key_b"]
     copies = real.groupBy(*content).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
-    by_rep = cut(real.join(copies, content).where("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("rep"), F.collect_set("rep").alias("reps"), F.count("*").alias("n")), "copies")
+    by_rep = cut(real.join(copies, content).where("doc_id <> rep").groupBy("doc_id").agg(F.collect_set("rep").alias("reps"), F.count("*").alias("n")), "copies")
     same = by_rep.select("doc_id", F.explode("reps").alias("rep"))
     # documents of which every row copies another need no signatures
-    idle = cut(by_rep.join(real.groupBy("doc_id").agg(F.count("*").alias("all")), "doc_id").where("n = all").select("doc_id", "rep"), "idle")
-    few = idle.count() <= BROADCAST_IDS
-    source = docs.join(F.broadcast(idle.select("doc_id")), "doc_id", "left_anti") if few else docs
-    bucket = Window.partitionBy("sig")
-    rows = _signature_rows(source, width, percent)
-    if not few:
-        rows = rows.join(idle.withColumnRenamed("doc_id", "doc"), "doc", "left").select("sig", F.coalesce("rep", "doc").alias("doc")).distinct()
-    rows = rows.withColumn("a", F.min("doc").over(bucket)).withColumn("z", F.max("doc").over(bucket))
-    members = cut(rows.where("a <> z").select("sig", "doc", "a"), "members", TEXT_ROWS)
+    idle = cut(by_rep.join(real.groupBy("doc_id").agg(F.count("*").alias("all")), "doc_id").where("n = all").select("doc_id"), "idle")
+    maybe, first = split_by_keys(docs, idle, ["doc_id"])
+    members = cut(bucket_members(first.union(maybe.join(idle.hint("merge"), "doc_id", "left_anti")), width, percent), "bucket-members", TEXT_ROWS)
     parity = F.struct(F.col("n_shingles").alias("n"), *(F.col("parity")[i].alias(f"s{i}") for i in range(8)))
     marks = real.select(F.col("doc_id").alias("doc"), parity.alias("f"))
-    firsts = members.where("doc <> a").select("a", F.col("doc").alias("b")).distinct()
-    marked = firsts.join(marks.select(F.col("doc").alias("b"), "f"), "b").join(marks.select(F.col("doc").alias("a"), F.col("f").alias("g")), "a")
-    star = cut(marked.where(_may_link("f", "g", percent)).select("a", "b").distinct(), "star")
+    firsts = cut(members.where("doc <> a").select("a", F.col("doc").alias("b")).distinct(), "firsts")
+    pivots = cut(marks.join(firsts.groupBy(F.col("a").alias("doc")).agg(F.count("*").alias("n")), "doc").groupBy(F.col("doc").alias("a")).agg(F.max("n").alias("n"), F.collect_set("f").alias("gs")), "pivots")
+    marked = hot_join(firsts.join(marks.select(F.col("doc").alias("b"), "f"), "b"), pivots, ["a"], "n", ["gs"])
+    star = cut(marked.select("a", "b", "f", F.explode("gs").alias("g")).where(_may_link("f", "g", percent)).select("a", "b"), "star")
     links = verified(star, docs, slim, width, percent)
     known = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(same)
     labels = connected_components(known)
-    lab = members.select("sig", "doc").join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("sig", "doc", F.coalesce("component", "doc").alias("c"))
-    split = lab.withColumn("low", F.min("c").over(bucket)).withColumn("high", F.max("c").over(bucket)).where("low <> high").select("sig", "doc", "c")
-    open_ = cut(split.join(marks, "doc"), "open")
-    drop_cut(members)
-    most = open_.groupBy("sig", "c").agg(F.count("*").alias("n")).groupBy("sig").agg(F.max_by("c", F.struct("n", "c")).alias("most"))
-    small = open_.join(most, "sig").where("c <> most").select("sig", F.col("doc").alias("x"), F.col("c").alias("cx"), "f")
-    cross = small.join(open_.select("sig", F.col("doc").alias("y"), F.col("c").alias("cy"), F.col("f").alias("g")), "sig").where((F.col("cx") != F.col("cy")) & _may_link("f", "g", percent))
+    lab = cut(members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("sig", "doc", F.coalesce("component", "doc").alias("c")), "labelled")
+    sizes = lab.groupBy("sig", "c").agg(F.count("*").alias("n")).groupBy("sig").agg(F.max_by("c", F.struct("n", "c")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("parts"))
+    apart = cut(sizes.where("parts > 1").select("sig", "most", "n", F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int").alias("blocks")), "open-buckets")
+    opened = cut(hot_join(lab, apart, ["sig"], "n", ["most", "blocks"]).join(marks, "doc").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")), "open")
+    for done in (members, lab, firsts, pivots, idle):
+        drop_cut(done)
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    small = opened.where("c <> most").select("sig", F.col("block").alias("i"), every.alias("j"), F.col("doc").alias("x"), F.col("c").alias("cx"), "f")
+    large = opened.select("sig", every.alias("i"), F.col("block").alias("j"), F.col("doc").alias("y"), F.col("c").alias("cy"), F.col("f").alias("g"))
+    cross = small.join(large, ["sig", "i", "j"]).where((F.col("cx") != F.col("cy")) & _may_link("f", "g", percent))
     rest = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     more = verified(rest, docs, slim, width, percent)
     final = connected_components(known.union(more.select("a", "b"))) if more.limit(1).count() else labels
     out = slim.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    drop_cut(open_)
+    drop_cut(opened)
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one_each(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
-    """``docs`` without the documents that link to one with a smaller id; all columns stay."""
-    gone = jaccard_classes(docs, width, percent).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with one row of each group of linked documents, that of the smallest id; all columns stay.
+
+    Rows without words (null and empty texts) and rows with a null id are in no group and stay. Rows that repeat an id
+    are one node: of those that repeat its text too one stays, other texts of the id all do. An empty table gives no
+    rows; columns of any name stay.
+    """
+    classes = cut(jaccard_classes(docs, width, percent), "classes")
+    gone = cut(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "gone")
+    again = cut(classes.where("n_shingles > 0 and doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id"), "repeated-ids")
+    flat = docs.select(F.col("doc_id").cast("long").alias("_id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    maybe, sure = split_by_keys(flat, gone.union(again), ["_id"])
+    left = maybe.join(gone.hint("merge"), "_id", "left_anti").join(again.withColumn("_again", F.lit(True)).hint("merge"), "_id", "left")
+    once = left.where("_again").groupBy("_id", F.sha2(F.col("_row.text").cast("string"), 256)).agg(F.first("_row").alias("_row")).select("_id", "_row")
+    kept = sure.union(left.where("_again is null").select("_id", "_row")).union(once)
+    drop_cut(classes)
+    return kept.select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))

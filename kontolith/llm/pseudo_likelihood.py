@@ -151,11 +151,12 @@ def fit(docs: DataFrame, vocabulary: int = 50_000, n_classes: int = 64, own: int
     tokens = tokens or 0
     n_classes, own = grown(n_classes, own, tokens)
     vocabulary = max(vocabulary, growth * isqrt(types))
-    top = most_frequent(counted, "n", vocabulary).toArrow()
+    often = most_frequent(counted, "word", "n", vocabulary)
+    top = counted.where(often).toArrow()
     h, n = top.column("word").to_numpy(), top.column("n").to_numpy()
     order = np.lexsort((h, -n))
     h, n = np.ascontiguousarray(h[order]).view(np.uint64), n[order]
-    rare = counted.where((F.col("n") > 1) & (F.col("n") < int(n[-1]))) if len(n) else counted.where("n > 1")
+    rare = counted.where(~often & (F.col("n") > 1))
     # ranks 0 .. own-1 alone, the others in bins of equal ratio, the last class for what is outside
     rank = np.arange(len(h))
     shared = n_classes - 1 - own

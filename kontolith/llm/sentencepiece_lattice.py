@@ -201,7 +201,8 @@ def frequent_units(docs: DataFrame, vocabulary: int, model_path: str, kind: int)
         return step
 
     counted = map_batches(docs.select(F.col("text").cast("string")), make, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    return most_frequent(cut(counted, "units"), "n", vocabulary).select("unit")
+    counted = cut(counted, "units")
+    return counted.where(most_frequent(counted, "unit", "n", vocabulary)).select("unit")
 
 
 def lattice_edges(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:

@@ -386,6 +386,49 @@ def test_jaccard_classes_equal_brute_force(spark, width, percent):
     assert got == brute_classes(order, texts, width, percent)
 
 
+@pytest.mark.parametrize("width", range(1, 7))
+def test_sets_of_few_words(width):
+    import pyarrow as pa
+
+    for texts in ([], [None], [""], ["a"], ["a b"], ["a", None, "b"], ["a b c"], ["a b", "c d e f g h i j"], [" ".join("abcdefghij"[:n]) for n in range(11)]):
+        sets = partenum.shingle_sets(pa.array(texts, pa.string()), width, words.WordHasher(lower=True))
+        assert [len(s) for s in sets] == [max(min(1, n), n - width + 1) for n in (len((t or "").split()) for t in texts)]
+
+
+@pytest.mark.parametrize("percent", [30, 50, 80, 85, 95])
+def test_linked_sets_share_a_signature(percent):
+    """Any pair that reaches the threshold is a candidate, at every size and in every hashing; unrelated small sets are not."""
+    rng = np.random.default_rng(percent)
+    for n in [*range(1, 40), 60, 150]:
+        for _ in range(60):
+            a = np.unique(rng.integers(0, 1 << 64, n, np.uint64) >> np.uint64(rng.integers(0, 60) if n < 12 else 0))
+            m = int(rng.integers(0, len(a) * (100 - percent) // 100 + 2))
+            b = np.unique(np.concatenate((a[rng.permutation(len(a))[min(m // 2, len(a) - 1) :]], rng.integers(0, 1 << 64, m - m // 2, np.uint64))))
+            common = len(np.intersect1d(a, b))
+            if common and 100 * common >= percent * (len(a) + len(b) - common) and not np.array_equal(a, b):
+                (x, less_x), (y, less_y) = partenum.signatures(a, percent), partenum.signatures(b, percent)
+                assert set(x[~less_x]) & set(y) or set(y[~less_y]) & set(x)
+    seen = Counter(sig for _ in range(2000) for sig in set(partenum.signatures(np.sort(rng.integers(0, 1 << 64, int(rng.integers(1, 25)), np.uint64)), percent)[0].tolist()))
+    assert max(seen.values(), default=0) <= 1
+
+
+def test_short_documents_share_no_bucket(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *(F.hash("id", F.lit(k)) for k in range(5))).alias("text"))
+    assert partenum.bucket_members(docs, 4, 85).count() == 0
+    got = partenum.jaccard_classes(docs)
+    assert got.where("doc_id = component_id and n_shingles = 2").count() == 4000
+
+
+def test_jaccard_stage_repeats(spark):
+    text = " ".join(f"u{i}" for i in range(40))
+    docs = spark.createDataFrame([(4, text, "a"), (4, text, "b"), (4, "quite another text of it", "c"), (9, text + " more", "d"), (None, text, "e"), (7, None, "f"), (7, None, "g")], "doc_id long, text string, `a.b` string")
+    kept = partenum.keep_one_each(docs, width=5, percent=80)
+    assert kept.columns == docs.columns
+    rows = sorted((r[0] or 0, r[1] or "") for r in kept.collect())
+    assert rows == sorted([(4, text), (4, "quite another text of it"), (0, text), (7, ""), (7, "")])
+    assert partenum.keep_one_each(docs.where("false")).count() == 0
+
+
 def test_jaccard_odd_rows(spark):
     docs = documents(spark, ["a b c d e", "a b c d e", "p q r s t", "a b c d e", "p q r s t", None], ids=[5, 5, 5, None, 2, 2])
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in partenum.jaccard_classes(docs).collect()), key=str)
@@ -416,7 +459,7 @@ def test_lines_equal_sql(spark):
     c.register("documents", documents_)
     want = c.sql(line_spread.spread_oracle()).df().sort_values("doc_id", ignore_index=True)[got.columns]
     assert got.astype(object).where(got.notna(), None).values.tolist() == want.astype(object).where(want.notna(), None).values.tolist()
-    assert got.n_removed.sum() == 48  # 24 * 2 + 1 occurrences, of which the first stays
+    assert got.n_removed.sum() == 48 + 23  # 24 * 2 + 1 occurrences and 24 of a short line, of which the first stays
     assert line_spread.remove_spread_lines(docs.where("false")).count() == 0
 
 
@@ -524,8 +567,32 @@ def test_most_frequent_is_bounded(spark):
     from kontolith.llm.common import most_frequent
 
     df = spark.createDataFrame([(i, n) for i, n in enumerate([1] * 50 + [2] * 10 + [100, 90, 7])], "w int, n long")
-    assert {r.n for r in most_frequent(df, "n", 20).collect()} == {2, 7, 90, 100} and most_frequent(df, "n", 12).count() == 3
-    assert most_frequent(df.where("n = 1"), "n", 10).count() == 0 and most_frequent(df.where("false"), "n", 5).count() == 0
+    top = lambda d, most: d.where(most_frequent(d, "w", "n", most))
+    assert {100, 90, 7} <= {r.n for r in top(df, 8).collect()} <= {100, 90, 7, 2} and top(df, 100).count() == 63
+    many = spark.range(60_000).select(F.col("id").alias("w"), F.lit(3).cast("long").alias("n"))
+    assert 1800 < top(many, 2000).count() < 2200 and top(df.where("false"), 5).count() == 0
+
+
+def test_hot_join_equals_join(spark):
+    from kontolith.llm.common import hot_join
+
+    rng = np.random.default_rng(12)
+    left = spark.createDataFrame([(int(k) if k < 300 else 7, int(k) % 3, i) for i, k in enumerate(rng.integers(0, 900, 4000))], "k long, m long, i long")
+    right = left.where("k % 5 <> 1").groupBy("k", "m").agg(F.count("*").alias("n"), F.max("i").alias("top")).withColumn("more", F.col("top") * 2)
+    want = left.join(right, ["k", "m"]).select("k", "m", "i", "top", "more")
+    got = hot_join(left, right, ["k", "m"], "n", ["top", "more"])
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 2000
+    assert hot_join(left, right.where("false"), ["k", "m"], "n", ["top", "more"]).count() == 0
+
+
+def test_split_by_keys(spark):
+    from kontolith.llm.common import split_by_keys
+
+    rows = spark.createDataFrame([(i % 500, "x") for i in range(1000)] + [(None, "y")], "id long, t string")
+    maybe, sure = split_by_keys(rows, spark.range(0, 500, 5), ["id"])
+    a, b = [r.id for r in maybe.collect()], [r.id for r in sure.collect()]
+    assert len(a) + len(b) == 1001 and set(range(0, 500, 5)) <= set(a) and not set(range(0, 500, 5)) & set(b) and len(b) > 750
+    assert split_by_keys(rows, spark.range(0), ["id"])[1].where("id is not null").count() == 1000
 
 
 def test_risk_without_features():
