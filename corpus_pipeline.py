@@ -2,7 +2,7 @@
 
 ``run`` writes every stage's result as Parquet to the shared folder and reads it again for the next. No stage can be
 said in SQL as a whole (rules and scores are learned, packing is a heuristic), so ``ORACLE_SQL`` is None; the tests hold
-the stages against brute force.
+each stage's rows against a plain Python version of it.
 """
 
 from __future__ import annotations
@@ -20,13 +20,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go."""
-    return toxicity.keep_clean(docs, read_table(spark, sf_dir, "labels"))
+    """Documents predicted toxic go; the model learns from the unfiltered documents, of which the labels speak."""
+    return toxicity.keep_clean(docs, read_table(spark, sf_dir, "labels"), fit_on=read_table(spark, sf_dir, "documents"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of any length found on many sites stay in one document only; documents of which nothing is left go."""
-    return line_spread.dedup_lines(docs, min_words=1)
+    return line_spread.dedup_lines(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
