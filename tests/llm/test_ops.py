@@ -299,6 +299,24 @@ def test_embedding_links(spark):
     assert embedding_forest.embedding_classes(table.where("false")).count() == 0
 
 
+def test_embedding_links_of_all_lengths(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(3)] + [(i, [1.0, 2.0, float(i % 2)]) for i in range(10, 16)] + [(20, [2.0, 4.1]), (21, [9.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_forest.embedding_classes(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert [got[i] for i in (0, 1, 2, 20, 21)] == [(3, 0), (3, 0), (3, 0), (3, 0), (0, 21)]
+    assert all(got[i] == (5, 10) for i in range(10, 16))  # 5 / sqrt(5 * 6) is over 0.9
+
+
+def test_dense_group_hands_on_no_pairs(spark):
+    rng = np.random.default_rng(13)
+    x = np.ones(24) + rng.normal(scale=0.1, size=(900, 24))
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "id long, v array<double>, n long")
+    near = embedding_forest.near_counts(df, 0.9, 8, 64, 0.08, 300, 200, 3)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    want = (u @ u.T >= 0.9).sum(1) - 1
+    got = {r.id: r.links for r in near.groupBy("id").agg(F.sum("links").alias("links")).collect()}
+    assert all(got[i] == want[i] for i in range(900)) and near.count() < 900 * 60
+
+
 # --- 7 quality rules -----------------------------------------------------------------------------------------------
 
 
