@@ -29,15 +29,16 @@ GROUP_PIECES = 3000
 
 #: Chunks whose ids a Python worker keeps in each of two generations; about 200 bytes each.
 KEPT_CHUNKS = 450_000
-#: Lower-case Latin words with closing punctuation: one token sequence for the word, one for the punctuation.
-_PLAIN = re.compile("[a-zß-öø-ÿ]+([.,;:!?]*)")
+#: Lower-case Latin words with closing ASCII marks (no apostrophes): the tokenizer parts one from the other.
+_PLAIN = re.compile("([a-zß-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)")
 
 
 class ChunkIds:
     """Little-endian uint32 ids of texts by their white-space-free chunks, which are kept for the life of a Python worker.
 
-    The tokenizer splits at white space before merging, so a text's ids are its chunks' ids in order. Plain words that
-    are new are encoded together and told apart by the tokens that end a word; other chunks are encoded alone.
+    The tokenizer splits at white space before merging, so a text's ids are its chunks' ids in order. A plain word with
+    closing marks is the word's ids and the marks'; new words are encoded together and told apart by the tokens that end
+    a word; other chunks are encoded alone.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -54,33 +55,46 @@ class ChunkIds:
         return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")  # without offsets
 
     def learn(self, chunks: set[str]) -> None:
-        plain, parts = [], []
+        known, marked = self.known, []
+        words: set[str] = set()
         for c in chunks:
             m = _PLAIN.fullmatch(c)
-            if m:
-                plain.append(c)
-                parts.append(1 + (m[1] != ""))
-            else:
-                self.known[c] = self._ids(c).tobytes()
+            if m is None:
+                known[c] = self._ids(c).tobytes()
+                continue
+            word, marks = m.groups()
+            if marks:
+                marked.append((c, word, marks))
+                if marks not in known:
+                    known[marks] = self._ids(marks).tobytes()
+            if word not in known:
+                if word in self.older:
+                    known[word] = self.older[word]
+                else:
+                    words.add(word)
+        plain = list(words)
         for at in range(0, len(plain), 1000):
             some = plain[at : at + 1000]
             ids = self._ids(" ".join(some))
-            ends, last = np.flatnonzero(self.ends_word[ids]) + 1, np.cumsum(parts[at : at + 1000])
-            if len(ends) == last[-1] and ends[-1] == len(ids):
-                data, bounds = ids.tobytes(), [0, *(4 * ends[last - 1]).tolist()]
-                self.known.update(zip(some, map(data.__getitem__, map(slice, bounds, bounds[1:])), strict=False))
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(some) and ends[-1] == len(ids):
+                data, bounds = ids.tobytes(), [0, *(4 * ends).tolist()]
+                known.update(zip(some, map(data.__getitem__, map(slice, bounds, bounds[1:])), strict=False))
             else:  # the vocabulary has no such word ends
-                self.known.update((c, self._ids(c).tobytes()) for c in some)
+                known.update((c, self._ids(c).tobytes()) for c in some)
+        known.update((c, known[word] + known[marks]) for c, word, marks in marked)
 
     def of_texts(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t if "Σ" in t else t.lower()).replace("\n", " ").split(" ") if t else [] for t in texts]
         if len(self.known) > KEPT_CHUNKS:
             self.known, self.older = {"": b""}, self.known
-        new = set().union(*split).difference(self.known)
+        split = [(t if "Σ" in t else t.lower()).replace("\n", " ").split(" ") if t else [] for t in texts]
+        found = [list(map(self.known.get, chunks)) for chunks in split]
+        new = {c for chunks, ids in zip(split, found, strict=True) if None in ids for c, i in zip(chunks, ids, strict=True) if i is None}
         again = new & self.older.keys()
         self.known.update((c, self.older[c]) for c in again)
         self.learn(new - again)
-        return [b"".join(map(self.known.__getitem__, chunks)) for chunks in split]
+        known = self.known
+        return [b"".join([known[c] if i is None else i for c, i in zip(chunks, ids, strict=True)] if None in ids else ids) for chunks, ids in zip(split, found, strict=True)]
 
 
 @lru_cache(maxsize=2)
