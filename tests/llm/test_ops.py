@@ -553,7 +553,69 @@ def test_copies_and_quotations_in_a_main_part_stay(spark, tag):
     rows = [(1, "http://h/a/1", page("one", "two")), (2, "http://h/a/2", page("one", "two")), (3, "http://q/a/1", page("said", "three")), (4, "http://q/a/2", page("four", "said"))]
     got = {r.page_id: r for r in page_diff.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert [got[i].text for i in (1, 2, 3, 4)] == ["one\ntwo", "one\ntwo", "said\nthree", "four\nsaid"]
-    assert all(r.n_shared for r in got.values())
+    assert all(r.n_shared is None for r in got.values())
+
+
+def test_alignment_of_many_equal_lines():
+    """Linear memory: thousands of equal lines between others."""
+    rng = np.random.default_rng(14)
+    a, b = rng.integers(0, 2, 3000).tolist(), rng.integers(0, 2, 3000).tolist()
+    i, j = page_diff.common_lines(a, b)
+    assert [a[x] for x in i] == [b[x] for x in j] and i == sorted(set(i)) and j == sorted(set(j)) and len(i) > 2300
+
+
+def brute_page_texts(pages):
+    """Plain version of the extraction of pages without a main part: pairs by sorted path, LCS by table, votes."""
+    def lcs(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for x in range(len(a) - 1, -1, -1):
+            for y in range(len(b) - 1, -1, -1):
+                best[x][y] = 1 + best[x + 1][y + 1] if a[x] == b[y] else max(best[x + 1][y], best[x][y + 1])
+        return best[0][0]
+
+    out = {}
+    hosts = defaultdict(list)
+    for page, url, html in pages:
+        host, _, path = url.removeprefix("http://").partition("/")
+        hosts[host].append(("/" + path, page, re.findall("<p>(.*?)</p>", html)))
+    for rows in hosts.values():
+        rows.sort()
+        for k, (path, page, lines) in enumerate(rows):
+            near = []
+            for step in (-2, -1, 1, 2):
+                if 0 <= k + step < len(rows):
+                    x, y = path.split("/"), rows[k + step][0].split("/")
+                    run = next((n for n, (u, v) in enumerate(zip(x, y, strict=False)) if u != v), min(len(x), len(y)))
+                    near.append((-run, abs(step), step, rows[k + step][2]))
+            votes, telling = Counter(), 0
+            for *_, other in sorted(near)[:3]:
+                if lcs(lines, other) < len(lines):
+                    telling += 1
+                    votes.update(n for n, line in enumerate(lines) if line in other and lines.count(line) == 1)
+            out[page] = "\n".join(line for n, line in enumerate(lines) if votes[n] < min(2, telling) or not votes[n])
+    return out
+
+
+def test_differencing_equals_brute_force(spark):
+    """Pages without any telling element: templates go, copies and quotations stay."""
+    rng = np.random.default_rng(15)
+    rows, said = [], [f"quoted {i}" for i in range(4)]
+    for h in range(5):
+        top, end = [f"Home of {h}", "Offers", "About us"], [f"Imprint {h}", "All rights reserved"]
+        for k in range((1, 2, 3, 9, 14)[h]):
+            body = [f"line {h} {k} {i}" for i in range(int(rng.integers(1, 7)))] + ([said[k % 4]] if k % 5 == 0 else [])
+            rows.append([h * 100 + k, f"http://h{h}/{'ab'[k % 2]}/{k:02d}", "".join(f"<div class=x{k}><p>{x}</p></div>" for x in top + body + end)])
+    rows.append([950, "http://h4/a/00a", rows[-14][2]])  # a copy beside its original
+    got = {r.page_id: r for r in page_diff.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = brute_page_texts(rows)
+    assert {i: r.text for i, r in got.items()} == want and sum(r.n_shared > 0 for r in got.values()) >= 28
+    assert all(not re.search("Home|Offers|Imprint", got[i].text) for i in got if i >= 200) and got[950].text == got[400].text
+
+
+def test_names_inside_an_article():
+    lines = lambda *names: page_diff.choose_lines(page_diff.page_lines("<article><p>one</p>" + "".join(f"<p class='{x}'>{x}</p>" for x in names) + "</article>"), set())
+    assert lines("related", "share-price", "alert", "promotion", "dialog") == "one\nrelated\nshare-price\nalert\npromotion\ndialog"
+    assert lines("ad", "cookie-notice", "comments-section", "sidebar left", "Newsletter-Box") == "one"
 
 
 # --- pipeline ------------------------------------------------------------------------------------------------------
