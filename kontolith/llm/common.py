@@ -87,6 +87,11 @@ def as_bytes(column: pa.Array) -> list:
     return column.cast(pa.binary()).to_pylist()
 
 
+def struct_field(column: pa.StructArray, name: str) -> pa.Array:
+    """A field of a struct column as strings, by position, so that other fields may have any names."""
+    return column.field([f.name for f in column.type].index(name)).cast(pa.string())
+
+
 class BoundedCache(dict):
     """A dictionary that computes missing entries and holds about ``limit`` of them, in two generations.
 

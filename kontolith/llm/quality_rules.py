@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from kontolith.llm.common import as_bytes, cut, map_batches, mix64
+from kontolith.llm.common import as_bytes, cut, map_batches, mix64, struct_field
 from kontolith.llm.words import WordHasher
 
 #: ASCII white space between words, and the characters counted as symbols.
@@ -77,11 +77,12 @@ def statistics_of(text: bytes | None, code_points: int, w: np.ndarray) -> tuple[
     )
 
 
-def text_statistics(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """The ``keep`` columns (default ``doc_id``) and ``STATS`` per row; a null text counts as empty."""
+def text_statistics(docs: DataFrame, packed: str | None = None) -> DataFrame:
+    """``doc_id`` and ``STATS`` per row; a null text counts as empty. With ``packed``, a struct column of which ``text``
+    is a field, that column in place of ``doc_id``; the text is then sent once."""
     import pyarrow.compute as pc
 
-    keep = ["doc_id"] if keep is None else keep
+    keep = [packed or "doc_id"]
     names = [x.split()[0] for x in STATS.split(", ")]
 
     def make():
@@ -92,7 +93,7 @@ def text_statistics(docs: DataFrame, keep: list[str] | None = None) -> DataFrame
                 yield one(whole.slice(at, 500))
 
         def one(batch: pa.RecordBatch):
-            text = batch.column(len(keep))
+            text = struct_field(batch.column(0), "text") if packed else batch.column(1)
             hashes, counts = hasher(text)
             ends = np.concatenate(([0], np.cumsum(counts)))
             rows = [statistics_of(t, n or 0, hashes[ends[k] : ends[k + 1]]) for k, (t, n) in enumerate(zip(as_bytes(text), pc.utf8_length(text).to_pylist(), strict=True))]
@@ -101,7 +102,7 @@ def text_statistics(docs: DataFrame, keep: list[str] | None = None) -> DataFrame
 
         return step
 
-    src = docs.select(*keep, F.col("text").cast("string").alias("_text"))
+    src = docs.select(*keep) if packed else docs.select(*keep, F.col("text").cast("string").alias("_text"))
     schema = StructType([*docs.select(*keep).schema, *(StructField(n, LongType()) for n in names)])
     return map_batches(src, make, schema)
 
@@ -272,5 +273,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, **how)
     some = labelled_sample(labels, max_rows)
     taught = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some.select("doc_id").distinct()), "doc_id", "left_semi")
     rules = fit(text_statistics(taught), labels, max_rows, **how)
-    flat = text_statistics(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "text"), ["_row"])
+    flat = text_statistics(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")), "_row")
     return verdicts(flat, rules).where("kept").select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))

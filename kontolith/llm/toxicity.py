@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from kontolith.llm.common import BoundedCache, cut, drop_cut, fold_id, map_batches
+from kontolith.llm.common import BoundedCache, cut, drop_cut, fold_id, map_batches, struct_field
 
 #: Characters stripped from a word's ends, lengths of the word beginnings.
 EDGES = ".,;:!?\"'()[]{}<>*#$%&|_-+=~/\\"
@@ -142,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 6000, max_unlabe
 
 
 def text_scores(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:
-    """The ``keep`` columns and ``score`` per row of ``docs``, from the whole ``_text``."""
+    """The ``keep`` columns and ``score`` per row of ``docs``, from the whole ``_text``, or from the field ``text`` of ``_row``."""
     weights, bias = model.weights, model.bias
 
     def make():
@@ -153,13 +153,14 @@ def text_scores(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> DataF
                 yield one(whole.slice(at, 500))
 
         def one(batch: pa.RecordBatch):
-            risks = np.array([bias + sum(weights[f] for f in sorted(text_features(t, cache))) for t in batch.column(len(keep)).to_pylist()], float)
+            texts = struct_field(batch.column(0), "text") if keep == ["_row"] else batch.column(len(keep))
+            risks = np.array([bias + sum(weights[f] for f in sorted(text_features(t, cache))) for t in texts.to_pylist()], float)
             return pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(0.5 * (1 + np.tanh(risks / 2)))], [*keep, "score"])
 
         return step
 
     schema = StructType([*docs.select(*keep).schema, StructField("score", DoubleType())])
-    return map_batches(docs.select(*keep, "_text"), make, schema)
+    return map_batches(docs.select("_row") if keep == ["_row"] else docs.select(*keep, "_text"), make, schema)
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
@@ -184,6 +185,6 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fit_o
     the labels speak, so that a filter before it takes no confirmed example away. Null and empty texts, repeated rows and
     rows with a null id are judged by their text like any other; an empty table gives no rows; columns of any name stay.
     """
-    flat = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("text").cast("string").alias("_text"))
+    flat = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
     scored = text_scores(flat, fit(docs if fit_on is None else fit_on, labels, **bounds), ["_row"])
     return scored.where(F.col("score") < threshold).select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
