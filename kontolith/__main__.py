@@ -10,14 +10,12 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from kontolith import schemas as S
 from kontolith.config import load_settings
 from kontolith.operators.control import control_report, looks_masked, status_counts
-from kontolith.operators.merge import append_merge
 from kontolith.plans.cuts import cut
-from kontolith.plans.statements import analysed, as_bookings, parse_statements, reanalyse, sheets
+from kontolith.plans.statements import analysed, appended, parse_statements, reanalyse, sheets
 from kontolith.sources.readers import bank_profiles, read_journal_csv, read_state, read_statement_texts
 from kontolith.sources.sinks import write_sheets, write_state
 from kontolith.sources.workbook import read_journal_workbooks
@@ -45,10 +43,10 @@ def main(argv: list[str] | None = None) -> int:
             control_report(parsed.statements).show(truncate=False)
             status_counts(parsed.bookings).show()
             return 0
-        names = [f.name for f in S.BOOKING]
-        merged = cut(append_merge(read_state(spark, f"{args.out}/state"), as_bookings(parsed.bookings), ["seq"]).select(*names), "merged")
-        done = analysed(merged.withColumn("seq", F.monotonically_increasing_id()))
-        write_state(done.select(*names), f"{args.out}/state")
+        state = read_state(spark, f"{args.out}/state")
+        merged = cut(state.unionByName(appended(state, parsed.bookings)), "merged")
+        done = analysed(merged)
+        write_state(done.select(*(f.name for f in S.STATE)), f"{args.out}/state")
     write_sheets(sheets(done), f"{args.out}/full")
     write_sheets(sheets(done, masked=True), f"{args.out}/masked")
     status_counts(done).show()

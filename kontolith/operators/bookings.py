@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kontolith.functions import patterns as P
-from kontolith.operators.headers import bare_sign, bare_value, delaminated_pages
+from kontolith.operators.headers import bare_sign, bare_value
 from kontolith.operators.lines import DOC
 from kontolith.schemas import MONEY
 
@@ -50,7 +50,7 @@ def _strip(text: Column) -> Column:
 
 def row_bookings(lines: DataFrame, heads: DataFrame) -> DataFrame:
     """Bookings of pages whose rows are whole: each booking-day line with the text lines up to the next; ``betrag`` may be null."""
-    whole = lines.join(delaminated_pages(lines), [DOC, "page_no"], "left_anti").join(heads.select(DOC, "profile"), DOC, "left").withColumn("running", running_balance(lines))
+    whole = lines.where("not apart").join(heads.select(DOC, "profile"), DOC, "left").withColumn("running", running_balance(lines))
     order = Window.partitionBy(DOC, "page_no").orderBy("line_no")
     island = whole.withColumn("bk", F.sum(F.col("is_day").cast("int")).over(order)).where("bk > 0 and (is_day or not (is_head or is_carry))")
     betrag, zweck, explicit = amount_and_purpose(F.col("line"), F.col("amounts"), F.col("head_end"), F.col("running"))
@@ -72,7 +72,7 @@ def segments(lines: DataFrame) -> DataFrame:
 
 def column_bookings(lines: DataFrame, heads: DataFrame, marks: DataFrame) -> DataFrame:
     """Bookings of pages whose columns came apart: the i-th bare amount with the i-th date (else the last) and the i-th text block."""
-    apart = lines.join(delaminated_pages(lines), [DOC, "page_no"], "left_semi")
+    apart = lines.where("apart")
     balances = heads.select(DOC, F.explode(F.array_compact(F.array("saldo_alt", "saldo_neu"))).alias("v"))
     known = marks.union(balances).distinct()
     at = Window.partitionBy(DOC, "page_no").orderBy("line_no")

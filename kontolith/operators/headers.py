@@ -40,11 +40,6 @@ def checkpoints(lines: DataFrame) -> DataFrame:
     return lines.where("is_carry").select(DOC, F.explode("amounts").alias("a")).select(DOC, F.col("a.v").alias("v")).distinct()
 
 
-def delaminated_pages(lines: DataFrame) -> DataFrame:
-    """Pages whose columns came apart: at least three lines of a date alone and three of an amount alone."""
-    return lines.groupBy(DOC, "page_no").agg(F.count_if("bare_date").alias("d"), F.count_if("bare_amount").alias("a")).where("d >= 3 and a >= 3").select(DOC, "page_no")
-
-
 def bare_value(line: Column) -> Column:
     return money.decimal_of(F.concat(F.regexp_extract(line, P.BARE_AMOUNT, 1), F.lit(","), F.regexp_extract(line, P.BARE_AMOUNT, 2)))
 
@@ -70,7 +65,7 @@ def labelled_balances(lines: DataFrame, profile: DataFrame) -> DataFrame:
 
 def bare_old_balance(lines: DataFrame, marks: DataFrame) -> DataFrame:
     """Old balance where the first page's columns came apart: its first bare credit amount that is on no carried line."""
-    first = lines.where("page_no = 0").join(delaminated_pages(lines), [DOC, "page_no"], "left_semi")
+    first = lines.where("page_no = 0 and apart")
     bare = first.where("bare_amount").select(DOC, "line_no", bare_value(F.col("line")).alias("v"), bare_sign(F.col("line")).alias("s")).where("s = 'H'")
     return bare.join(marks, [DOC, "v"], "left_anti").groupBy(DOC).agg(F.min_by("v", "line_no").alias("bare_alt"))
 

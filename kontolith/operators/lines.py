@@ -18,8 +18,14 @@ def pages(docs: DataFrame) -> DataFrame:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """A row per non-blank line with ``page_no, line_no``, its amounts, whether it is a booking day, carried line, head, bare date or amount."""
-    raw = pages(docs).select(DOC, "page_no", F.posexplode(F.split("page", P.LINE_BREAK)).alias("line_no", "line")).where(F.regexp_replace("line", r"(?U)\s", "") != "")
+    """A row per non-blank line with ``page_no, line_no``, its amounts, whether it is a booking day, carried line, head, bare date or amount.
+
+    ``apart``: the columns of its page came apart, that is at least three lines are a date alone and three an amount alone.
+    """
+    bare = lambda pattern: F.size(F.filter("all", lambda x: x.rlike(pattern)))
+    split = pages(docs).select(DOC, "page_no", F.split("page", P.LINE_BREAK).alias("all"))
+    flagged = split.select(DOC, "page_no", "all", ((bare(P.BARE_DATE) >= 3) & (bare(P.BARE_AMOUNT) >= 3)).alias("apart"))
+    raw = flagged.select(DOC, "page_no", "apart", F.posexplode("all").alias("line_no", "line")).where(F.regexp_replace("line", r"(?U)\s", "") != "")
     low = F.lower("line")
     year = F.regexp_extract("line", P.BOOKING_DAY, 3)
     contains_any = lambda labels: _any(low, labels)

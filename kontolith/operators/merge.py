@@ -19,9 +19,9 @@ def dedup_key(date: str = "datum", purpose: str = "verwendungszweck", amount: st
     )
 
 
-def append_merge(old: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
-    """All of ``old``, and of ``new`` the first row (by ``order``) of each key that ``old`` lacks; columns of ``old``."""
+def append_merge(old: DataFrame, new: DataFrame, order: list[str], known: DataFrame | None = None) -> DataFrame:
+    """All of ``old``, and of ``new`` the first row (by ``order``) of each key that ``known`` (``old``) lacks; columns of ``old``."""
     keyed = new.withColumn("_key", dedup_key())
     first = keyed.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy(*order))).where("_n = 1")
-    fresh = first.join(old.select(dedup_key().alias("_key")).distinct(), "_key", "left_anti")
+    fresh = first.join((old if known is None else known).select(dedup_key().alias("_key")).distinct(), "_key", "left_anti")
     return old.unionByName(fresh.select(*old.columns))

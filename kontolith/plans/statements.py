@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kontolith import schemas as S
@@ -19,10 +19,11 @@ from kontolith.operators.categorize import apply_categories, ask, enrich, open_p
 from kontolith.operators.control import check_statements, spread_status
 from kontolith.operators.dates import smart_year
 from kontolith.operators.lines import DOC, lines
+from kontolith.operators.merge import append_merge
 from kontolith.operators.recurring import keyed_bookings, recurring_groups
 from kontolith.operators.repair import repair_by_checkpoints
-from kontolith.plans.cuts import cut
-from kontolith.sources.readers import bank_profiles
+from kontolith.plans.cuts import cut, numbered
+from kontolith.sources.readers import ORDER, bank_profiles
 
 
 @dataclass
@@ -38,7 +39,7 @@ def parse_statements(docs: DataFrame, profiles: DataFrame | None = None, zero_is
     """
     profiles = bank_profiles(docs.sparkSession) if profiles is None else profiles
     told = cut(lines(docs), "lines")
-    marks = headers.checkpoints(told)
+    marks = cut(headers.checkpoints(told), "marks")
     heads = cut(headers.statement_heads(docs, told, profiles, marks, zero_is_balance), "heads")
     parsed = cut(B.parsed_bookings(told, heads, marks), "parsed")
     repaired = repair_by_checkpoints(told, B.complete(parsed))
@@ -49,12 +50,8 @@ def parse_statements(docs: DataFrame, profiles: DataFrame | None = None, zero_is
 
 
 def ranked_sources(parsed: DataFrame) -> DataFrame:
-    """``quelle_pdf, _rank``: sources numbered from 1 in their order, by a range sort; only a row per range is counted up."""
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    placed = cut(parsed.select(DOC).distinct().orderBy(DOC).select(DOC, F.spark_partition_id().alias("_part"), row.alias("_row")), "sources")
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return placed.join(F.broadcast(before), "_part").select(DOC, (F.col("_before") + F.col("_row") + 1).alias("_rank"))
+    """``quelle_pdf, _rank``: sources numbered from 1 in their order."""
+    return numbered(parsed.select(DOC).distinct(), [DOC], "_rank")
 
 
 def as_bookings(parsed: DataFrame) -> DataFrame:
@@ -107,6 +104,18 @@ def sheets(bookings: DataFrame, masked: bool = False) -> dict[str, DataFrame]:
 
 
 def reanalyse(journal: DataFrame, model: Callable[[list[str]], dict[int, str]] | None = None) -> DataFrame:
-    """Analysis of an existing journal (see ``sources.readers``): no merge, no reconciliation."""
+    """Analysis of an existing journal (see ``sources.readers``): no merge, no reconciliation.
+
+    Rows without ``seq`` are numbered by their place in the source, or, if the source has none, by all their columns.
+    """
     placed = journal.withColumn("konto", account_or_unknown(F.col("konto")))
-    return analysed(placed if "seq" in journal.columns else placed.withColumn("seq", F.monotonically_increasing_id()), model)
+    if "seq" not in placed.columns:
+        placed = numbered(placed, [ORDER] if ORDER in placed.columns else placed.columns, "seq")
+    return analysed(placed.drop(ORDER), model)
+
+
+def appended(state: DataFrame, parsed: DataFrame) -> DataFrame:
+    """New bookings of ``parsed`` that ``state`` lacks, their ``seq`` following the stored ones."""
+    last = state.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("_last"))  # one row
+    new = as_bookings(parsed).join(F.broadcast(last), F.lit(True)).withColumn("seq", F.col("_last") + F.col("seq")).drop("_last")
+    return append_merge(state.limit(0), new, ["seq"], known=state)

@@ -29,5 +29,7 @@ BOOKING = _fields(
 BOOKING_DEFAULTS = {"konto": "", "verwendungszweck": "", "betrag": 0, "status": NO_BALANCE, "kategorie": UNCATEGORISED, "typ": EXPENSE, "auszug_differenz": 0, "vorzeichen_unsicher": False} | {
     c: "" for c in ("art", "empfaenger", "referenz", "mandatsref", "glaeubiger_id", "vertragsnr", "turnus", "vermerk", "quelle_pdf")
 }
+#: The stored state: bookings and their place in the order of first appearance, which first-seen rules go by.
+STATE = T.StructType([*BOOKING, T.StructField("seq", T.LongType(), True)])
 STATEMENT_TEXT = _fields(("quelle_pdf", _S), ("ocr_text", _S))
 PROFILE = _fields(("priority", T.IntegerType()), ("name", _S), ("erkennung", T.ArrayType(_S)), ("saldo_alt", T.ArrayType(_S)), ("saldo_neu", T.ArrayType(_S)), ("laufender_saldo", T.BooleanType()))

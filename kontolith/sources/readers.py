@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import json
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kontolith import schemas as S
 from kontolith.functions import patterns as P
 from kontolith.functions.money import decimal_of
+from kontolith.plans.cuts import row_in_partition
+from kontolith.sources.sinks import current_parts
+
+#: Column of a row's place in its source, where a source has an order.
+ORDER = "_order"
 
 
 def read_statement_texts(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
@@ -23,8 +27,11 @@ def list_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.{pdf,PDF}").load(path).select("path", "length").distinct()
 
 
-def decoded_bookings(rows: DataFrame) -> DataFrame:
-    """Any table with some of the booking columns as a full one: casts, defaults for what is missing or null; rows of nulls go."""
+def decoded_bookings(rows: DataFrame, more: list[Column] | None = None) -> DataFrame:
+    """Any table with some of the booking columns as a full one: casts, defaults for what is missing or null; rows of nulls go.
+
+    ``more``: columns that are kept beside them.
+    """
     have = set(rows.columns)
     known = [f.name for f in S.BOOKING if f.name in have]
     rows = rows.where(F.coalesce(*(F.col(c).cast("string") for c in known)).isNotNull()) if known else rows.limit(0)
@@ -33,17 +40,15 @@ def decoded_bookings(rows: DataFrame) -> DataFrame:
         value = F.col(f.name).try_cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)
         default = S.BOOKING_DEFAULTS.get(f.name)
         cols.append((value if default is None else F.coalesce(value, F.lit(default).cast(f.dataType))).alias(f.name))
-    return rows.select(*cols)
+    return rows.select(*cols, *(more or []))
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """Stored bookings; an empty table if there are none yet."""
-    try:
-        return decoded_bookings(spark.read.parquet(path))
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        return spark.createDataFrame([], S.BOOKING)
+    """Stored bookings with ``seq``; an empty table if there are none yet."""
+    parts = current_parts(spark, path)
+    if not parts:
+        return spark.createDataFrame([], S.STATE)
+    return decoded_bookings(spark.read.schema(S.STATE).parquet(*parts), [F.col("seq")])
 
 
 def _number(c: Column) -> Column:
@@ -69,16 +74,19 @@ def journal_bookings(rows: DataFrame) -> DataFrame:
     amount = F.coalesce(money("betrag"), F.coalesce(money("einnahme"), zero) + F.coalesce(money("ausgabe"), zero)).cast(S.MONEY)
     purpose = F.when(text("verwendungszweck") != "", text("verwendungszweck")).otherwise(text("empfaenger"))
     date = F.try_to_date(F.substring(text("datum"), 1, 10), "yyyy-MM-dd")
-    out = rows.where(F.coalesce(*(F.col(f"`{c}`").cast("string") for c in rows.columns)).isNotNull()).select(
+    kept = [F.col(ORDER)] if ORDER in rows.columns else []
+    out = rows.where(F.coalesce(*(F.col(f"`{c}`").cast("string") for c in rows.columns if c != ORDER)).isNotNull()).select(
+        *kept,
         text("konto").alias("konto"), date.alias("datum"), purpose.alias("verwendungszweck"), text("empfaenger").alias("empfaenger"), amount.alias("betrag"),
         F.when(text("status") != "", text("status")).otherwise(S.OK).alias("status"), text("typ").alias("typ"), text("art").alias("art"),
     )
-    return decoded_bookings(out.where((F.col("verwendungszweck") != "") | (F.col("betrag") != 0)))
+    return decoded_bookings(out.where((F.col("verwendungszweck") != "") | (F.col("betrag") != 0)), kept)
 
 
 def read_journal_csv(spark: SparkSession, path: str, delimiter: str = ";") -> DataFrame:
-    """Foreign journals from CSV files with a head line."""
-    return journal_bookings(spark.read.option("header", True).option("delimiter", delimiter).csv(path))
+    """Foreign journals from CSV files with a head line, with their rows' places in the files as ``_order``."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), row_in_partition().alias("row"))
+    return journal_bookings(spark.read.option("header", True).option("delimiter", delimiter).csv(path).withColumn(ORDER, place))
 
 
 def bank_profiles(spark: SparkSession, path: str | None = None) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import zipfile
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def write_sheets(sheets: dict[str, DataFrame], path: str, fmt: str = "parquet") -> None:
@@ -14,19 +15,45 @@ def write_sheets(sheets: dict[str, DataFrame], path: str, fmt: str = "parquet")
         df.write.mode("overwrite").format(fmt).option("header", True).save(f"{path}/{name}")
 
 
-def write_state(bookings: DataFrame, path: str) -> None:
-    """Replace the stored state: written beside it, then renamed, so that a failed run leaves the old one."""
-    spark = bookings.sparkSession
-    fresh, old = f"{path}.new", f"{path}.old"
-    bookings.write.mode("overwrite").parquet(fresh)
+def state_parts(spark: SparkSession, path: str) -> list[tuple[int, str, str]]:
+    """Number, kind (``full`` or ``add``) and place of the state's whole parts, in order; what a run left unfinished is none."""
     hadoop = spark._jvm.org.apache.hadoop.fs
-    here, was, new = hadoop.Path(path), hadoop.Path(old), hadoop.Path(fresh)
-    store = here.getFileSystem(spark._jsc.hadoopConfiguration())
-    store.delete(was, True)
-    if store.exists(here):
-        store.rename(here, was)
-    store.rename(new, here)
-    store.delete(was, True)
+    root = hadoop.Path(path)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(root):
+        return []
+    found = []
+    for entry in store.listStatus(root):
+        m = re.fullmatch(r"(\d{8})-(full|add)", entry.getPath().getName())
+        if m and store.exists(hadoop.Path(entry.getPath(), "_SUCCESS")):
+            found.append((int(m[1]), m[2], entry.getPath().toString()))
+    return sorted(found)
+
+
+def current_parts(spark: SparkSession, path: str) -> list[str]:
+    """Places of the parts that are the state now: the last full one and what was added after it."""
+    parts = state_parts(spark, path)
+    last = max((n for n, kind, _ in parts if kind == "full"), default=0)
+    return [place for n, _, place in parts if n >= last]
+
+
+def write_state(bookings: DataFrame, path: str, add: bool = False) -> None:
+    """Store ``bookings`` as the new state, or ``add`` them to it.
+
+    Every run writes a folder of its own, which counts once Spark's committer has marked it whole; nothing is renamed or
+    overwritten, so a run that ends anywhere leaves the state as it was. Parts older than the last full one but one go.
+    """
+    spark = bookings.sparkSession
+    parts = state_parts(spark, path)
+    n = max((n for n, _, _ in parts), default=0) + 1
+    bookings.write.mode("overwrite").parquet(f"{path}/{n:08d}-{'add' if add else 'full'}")
+    fulls = [k for k, kind, _ in parts if kind == "full"]
+    if not add and fulls:
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        store = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        for k, _, place in parts:
+            if k < fulls[-1]:
+                store.delete(hadoop.Path(place), True)
 
 
 def write_workbook(sheets: dict[str, DataFrame], path: str, max_rows: int = 100_000) -> None:

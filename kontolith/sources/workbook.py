@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from kontolith import schemas as S
 from kontolith.functions import patterns as P
-from kontolith.sources.readers import decoded_bookings, journal_bookings
+from kontolith.sources.readers import ORDER, decoded_bookings, journal_bookings
 
 STATE_SHEET = "_Daten"
 CELLS = "path string, sheet string, sheet_no int, row_no int, cells array<string>"
@@ -88,7 +88,7 @@ def _as_table(cells: DataFrame, fields: list[str], names: dict[str, str]) -> Dat
     for f in fields:
         at = _place([k for k, v in names.items() if v == f])
         cols.append(F.when(at.isNotNull(), F.try_element_at("cells", at)).alias(f))
-    return body.select("path", "sheet_no", "row_no", *cols)
+    return body.select(F.struct("path", "sheet_no", "row_no").alias(ORDER), *cols)
 
 
 def _dated(rows: DataFrame) -> DataFrame:
@@ -98,13 +98,13 @@ def _dated(rows: DataFrame) -> DataFrame:
 
 
 def read_journal_workbooks(spark: SparkSession, path: str, pattern: str = "*.xlsx") -> DataFrame:
-    """Bookings of journals in workbooks: of each file its stored rows if it has that sheet, else its journal sheets, else its first sheet."""
+    """Bookings of journals in workbooks: of each file its stored rows if it has that sheet, else its journal sheets, else its first sheet; with their rows' places as ``_order``."""
     cells = read_workbooks(spark, path, pattern)
     kinds = cells.select("path", "sheet", "sheet_no").distinct().withColumn("kind", F.when(F.col("sheet") == STATE_SHEET, 0).when(F.startswith(F.lower("sheet"), F.lit("journal")), 1).when(F.col("sheet_no") == 0, 2))
     best = kinds.where("kind is not null").groupBy("path").agg(F.min("kind").alias("kind"))
     chosen = cells.join(kinds.join(best, ["path", "kind"]).select("path", "sheet", "kind"), ["path", "sheet"])
     own = [f.name for f in S.BOOKING]
-    stored = decoded_bookings(_dated(_as_table(chosen.where("kind = 0"), own, {n: n for n in own})).select(*own))
+    stored = decoded_bookings(_dated(_as_table(chosen.where("kind = 0"), own, {n: n for n in own})).select(ORDER, *own), [F.col(ORDER)])
     fields = list(dict.fromkeys(P.JOURNAL_COLUMNS.values()))
-    foreign = journal_bookings(_dated(_as_table(chosen.where("kind > 0"), fields, P.JOURNAL_COLUMNS)).select(*fields))
+    foreign = journal_bookings(_dated(_as_table(chosen.where("kind > 0"), fields, P.JOURNAL_COLUMNS)).select(ORDER, *fields))
     return stored.unionByName(foreign)

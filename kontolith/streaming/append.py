@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from kontolith import schemas as S
-from kontolith.operators.merge import append_merge
-from kontolith.plans.statements import as_bookings, parse_statements
+from kontolith.plans.cuts import cut
+from kontolith.plans.statements import appended, parse_statements
 from kontolith.sources.readers import read_state
 from kontolith.sources.sinks import write_state
 
@@ -19,12 +18,15 @@ def statement_stream(spark: SparkSession, path: str, pattern: str = "*.txt") ->
 
 
 def merge_batch(state_path: str):
-    """What ``foreachBatch`` runs. Keys already stored are left out, so a batch that runs twice changes nothing."""
+    """What ``foreachBatch`` runs: the batch's new bookings are added to the state, nothing stored is written again.
+
+    Keys already stored are left out, so a batch that runs twice changes nothing.
+    """
 
     def run(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        new = as_bookings(parse_statements(batch).bookings)
-        write_state(append_merge(read_state(spark, state_path), new, ["seq"]).select(*(f.name for f in S.BOOKING)), state_path)
+        new = cut(appended(read_state(batch.sparkSession, state_path), parse_statements(batch).bookings), "appended")
+        if new.limit(1).count():
+            write_state(new, state_path, add=True)
 
     return run
 
