@@ -42,6 +42,12 @@ def journal(bookings: DataFrame) -> DataFrame:
     return bookings.select(account_or_unknown(F.col("konto")).alias("konto"), "datum", *(_null(c).alias(c) for c in texts), F.when(up, F.col("betrag")).alias("einnahme"), F.when(~up, F.col("betrag")).alias("ausgabe"), "status", "seq")
 
 
+def journal_sheets(bookings: DataFrame) -> DataFrame:
+    """The journal with ``blatt``, the sheet of its account, in each sheet's order."""
+    rows = journal(bookings).join(account_suffixes(bookings), "konto")
+    return rows.withColumn("blatt", F.concat(F.lit("Journal_"), "suffix")).drop("suffix").orderBy("blatt", F.col("datum").asc_nulls_last(), "seq")
+
+
 def fixed_costs(bookings: DataFrame) -> DataFrame:
     """Bookings of fixed costs with their group, in order of group and date."""
     group = F.coalesce(_null("empfaenger"), F.substring("verwendungszweck", 1, 30))

@@ -95,10 +95,9 @@ def statement_texts(spark: SparkSession, sf_dir: str, apart: bool = False) -> Da
     balance = lambda c: F.concat(german(F.abs(c)), F.when(c < 0, " S").otherwise(" H"))
     nl = F.lit("\n")
     head = F.concat(F.lit("LIGA BANK\nAuszug vom 1.1."), F.col("jahr").cast("string"), F.lit("\nIBAN: DE12 7509 "), F.lpad(F.col("kunde").cast("string"), 12, "0"), F.lit("00\nalter Kontostand 1.000,00 H\n"))
-    if apart:
-        body = F.concat(*(F.concat(F.array_join(F.transform("rows", f), "\n"), nl) for f in (lambda r: r["day"], lambda r: F.concat(F.lit("LASTSCHRIFT PN:931\n"), r["more"]), lambda r: r["amount"])))
-    else:
-        body = F.concat(F.array_join(F.transform("rows", lambda r: F.concat(r["day"], F.lit(" "), r["day"], F.lit(" LASTSCHRIFT PN:931 "), r["amount"], nl, r["more"])), "\n"), nl)
+    body = F.concat(F.array_join(F.transform("rows", lambda r: F.concat(r["day"], F.lit(" "), r["day"], F.lit(" LASTSCHRIFT PN:931 "), r["amount"], nl, r["more"])), "\n"), nl)
+    if apart:  # columns come apart from three bookings on
+        columns = F.concat(*(F.concat(F.array_join(F.transform("rows", f), "\n"), nl) for f in (lambda r: r["day"], lambda r: F.concat(F.lit("LASTSCHRIFT PN:931\n"), r["more"]), lambda r: r["amount"])))
+        body = F.when(F.size("rows") >= 3, columns).otherwise(body)
     close = F.when(F.col("kunde") % 11 == 0, F.lit("")).otherwise(F.concat(F.lit("neuer Kontostand "), balance(F.col("neu"))))
-    out = g.where(F.size("rows") >= 3) if apart else g
-    return out.select(F.concat_ws("-", "kunde", "jahr").alias("quelle_pdf"), F.concat(head, body, close).alias("ocr_text"))
+    return g.select(F.concat_ws("-", "kunde", "jahr").alias("quelle_pdf"), F.concat(head, body, close).alias("ocr_text"))
