@@ -13,6 +13,12 @@ class Settings:
     zero_is_balance: bool = True
     batch: int = 10
     retries: int = 1
+    model_enabled: bool = False
+    model_url: str = "http://127.0.0.1:11434"
+    model_name: str = "phi4-mini"
+    model_timeout: int = 180
+    #: Batches that are asked for at once; local models answer one at a time.
+    model_parallel: int = 1
 
 
 def load_settings(path: str | None = None) -> Settings:

@@ -30,8 +30,9 @@ def _open() -> Column:
     return F.coalesce(F.col("kategorie"), F.lit("")).isin("", S.UNCATEGORISED)
 
 
-def ask(purposes: DataFrame, model: Callable[[list[str]], dict[int, str]] | None, batch: int = 10, retries: int = 1) -> DataFrame:
-    """``verwendungszweck, kategorie`` by ``model`` over batches; a batch that keeps failing stays without. None: no answers."""
+def ask(purposes: DataFrame, model: Callable[[list[str]], dict[int, str]] | None, batch: int = 10, retries: int = 1, parallel: int = 1) -> DataFrame:
+    """``verwendungszweck, kategorie`` by ``model`` over batches, ``parallel`` of them at a time; a batch that keeps failing
+    stays without. None: no answers."""
     if model is None:
         return purposes.limit(0).withColumn("kategorie", F.lit(None).cast("string"))
 
@@ -47,7 +48,7 @@ def ask(purposes: DataFrame, model: Callable[[list[str]], dict[int, str]] | None
                         continue
                 yield pd.DataFrame({"verwendungszweck": texts, "kategorie": [got.get(i) for i in range(len(texts))]})
 
-    return purposes.mapInPandas(run, "verwendungszweck string, kategorie string").where(F.col("kategorie").isin(*S.CATEGORIES))
+    return purposes.repartition(parallel).mapInPandas(run, "verwendungszweck string, kategorie string").where(F.col("kategorie").isin(*S.CATEGORIES))
 
 
 def apply_categories(bookings: DataFrame, answers: DataFrame) -> DataFrame:

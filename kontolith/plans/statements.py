@@ -74,21 +74,25 @@ def decoded_keep(rows: DataFrame) -> DataFrame:
     return rows.select(*cols, "seq")
 
 
-def analysed(bookings: DataFrame, model: Callable[[list[str]], dict[int, str]] | None = None) -> DataFrame:
-    """Categories, type codes, fields, kinds, cadence and price notes."""
-    named = cut(apply_categories(bookings, ask(open_purposes(bookings), model)), "named")
+def analysed(bookings: DataFrame, model: Callable[[list[str]], dict[int, str]] | None = None, **how) -> DataFrame:
+    """Categories (``how``: see :func:`kontolith.operators.categorize.ask`), type codes, fields, kinds, cadence and price notes."""
+    named = cut(apply_categories(bookings, ask(open_purposes(bookings), model, **how)), "named")
     return cut(cadence_and_prices(cut(enrich(named), "enriched")), "analysed")
 
 
+def account_tails(bookings: DataFrame) -> DataFrame:
+    """``konto, schluessel, iban_ende``: the last four digits of the first account in a recurring group's purposes."""
+    found = F.nullif(F.regexp_extract("verwendungszweck", P.MASK_IBAN, 0), F.lit(""))
+    tail = F.min_by(F.right(F.regexp_replace(found, r"\s", ""), F.lit(4)), F.when(found.isNotNull(), F.col("seq")))
+    return keyed_bookings(bookings).groupBy("konto", "schluessel").agg(tail.alias("iban_ende"))
+
+
 def sheets(bookings: DataFrame, masked: bool = False) -> dict[str, DataFrame]:
     """All sheets of analysed bookings. Recurring groups form on real names; a masked set has masked names and no stored rows."""
     groups = recurring_groups(bookings).where(identifiable(F.col("empfaenger")))
     shown = bookings
     if masked:
-        keyed = keyed_bookings(bookings)
-        found = F.nullif(F.regexp_extract("verwendungszweck", P.MASK_IBAN, 0), F.lit(""))
-        tails = keyed.groupBy("konto", "schluessel").agg(F.min_by(F.right(F.regexp_replace(found, r"\s", ""), F.lit(4)), F.when(found.isNotNull(), F.col("seq"))).alias("iban_ende"))
-        groups = masked_groups(groups, tails).withColumn("konto", views.account_label(F.col("konto"), True))
+        groups = masked_groups(groups, account_tails(bookings)).withColumn("konto", views.account_label(F.col("konto"), True))
         shown = masked_bookings(bookings)
     out = {
         "Konten": views.account_overview(bookings, masked),
@@ -103,7 +107,27 @@ def sheets(bookings: DataFrame, masked: bool = False) -> dict[str, DataFrame]:
     return out if masked else out | {"_Daten": bookings.select(*(f.name for f in S.BOOKING))}
 
 
-def reanalyse(journal: DataFrame, model: Callable[[list[str]], dict[int, str]] | None = None) -> DataFrame:
+def workbook_sheets(bookings: DataFrame, masked: bool = False, most: int = 200) -> dict[str, DataFrame]:
+    """The sheets in a workbook's order: overview, journal and recurring payments of each account, then the views over all.
+
+    Accounts are listed on the driver, at most ``most``; write more as tables.
+    """
+    all_ = sheets(bookings, masked)
+    accounts = views.account_suffixes(bookings).orderBy("suffix").limit(most + 1).collect()
+    if len(accounts) > most:
+        raise ValueError(f"over {most} accounts; write the sheets as tables")
+    journal = views.journal(masked_bookings(bookings) if masked else bookings).drop("konto").join(bookings.select("seq", account_or_unknown(F.col("konto")).alias("konto")), "seq")
+    groups = recurring_groups(bookings).where(identifiable(F.col("empfaenger")))
+    shown = masked_groups(groups, account_tails(bookings)) if masked else groups
+    out = {"Konten": all_["Konten"]}
+    for a in accounts:
+        own = F.col("konto") == a.konto
+        out[f"Journal_{a.suffix}"] = journal.where(own).orderBy(F.col("datum").asc_nulls_last(), "seq").drop("konto", "seq")
+        out[f"Wiederkehrend_{a.suffix}"] = views.with_placeholder(views.recurring_view(shown.where(own)).drop("konto"), "empfaenger", "keine wiederkehrenden Zahlungen gefunden")
+    return out | {k: v for k, v in all_.items() if k not in ("Konten", "Journal", "Wiederkehrend")}
+
+
+def reanalyse(journal: DataFrame, model: Callable[[list[str]], dict[int, str]] | None = None, **how) -> DataFrame:
     """Analysis of an existing journal (see ``sources.readers``): no merge, no reconciliation.
 
     Rows without ``seq`` are numbered by their place in the source, or, if the source has none, by all their columns.
@@ -111,7 +135,7 @@ def reanalyse(journal: DataFrame, model: Callable[[list[str]], dict[int, str]] |
     placed = journal.withColumn("konto", account_or_unknown(F.col("konto")))
     if "seq" not in placed.columns:
         placed = numbered(placed, [ORDER] if ORDER in placed.columns else placed.columns, "seq")
-    return analysed(placed.drop(ORDER), model)
+    return analysed(placed.drop(ORDER), model, **how)
 
 
 def appended(state: DataFrame, parsed: DataFrame) -> DataFrame:

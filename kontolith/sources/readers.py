@@ -22,6 +22,11 @@ def read_statement_texts(spark: SparkSession, path: str, pattern: str = "*.txt")
     return spark.read.format("text").option("wholetext", True).option("pathGlobFilter", pattern).load(path).select(F.col("_metadata.file_name").alias("quelle_pdf"), F.col("value").alias("ocr_text"))
 
 
+def source_paths(spark: SparkSession, path: str, pattern: str = "*.txt") -> list[str]:
+    """The files that :func:`read_statement_texts` reads."""
+    return spark.read.format("text").option("wholetext", True).option("pathGlobFilter", pattern).load(path).inputFiles()
+
+
 def list_documents(spark: SparkSession, path: str) -> DataFrame:
     """``path, length`` of the PDF files in a folder, without reading them."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.{pdf,PDF}").load(path).select("path", "length").distinct()

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import datetime
 import re
 import zipfile
+from decimal import Decimal
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,31 +58,61 @@ def write_state(bookings: DataFrame, path: str, add: bool = False) -> None:
                 store.delete(hadoop.Path(place), True)
 
 
-def write_workbook(sheets: dict[str, DataFrame], path: str, max_rows: int = 100_000) -> None:
-    """A workbook for reading by people; sheets over ``max_rows`` are an error, write those as tables."""
+#: Cell styles by number (plain, head, money, date), column width.
+STYLES = (
+    '<numFmts count="2"><numFmt numFmtId="164" formatCode="#,##0.00"/><numFmt numFmtId="165" formatCode="DD.MM.YYYY"/></numFmts><fonts count="2"><font/><font><b/></font></fonts>'
+    '<fills count="3"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill><fill><patternFill patternType="solid"><fgColor rgb="FFD9E1F2"/></patternFill></fill></fills>'
+    '<borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="4"><xf/><xf fontId="1" fillId="2" applyFont="1" applyFill="1"/><xf numFmtId="164" applyNumberFormat="1"/><xf numFmtId="165" applyNumberFormat="1"/></cellXfs>'
+)
+HEAD, MONEY, DATE = 1, 2, 3
+_DAY_0 = datetime.date(1899, 12, 30)
+
+
+def _column(i: int) -> str:
+    name = ""
+    while i >= 0:
+        name, i = chr(65 + i % 26) + name, i // 26 - 1
+    return name
+
 
-    def cell(v) -> str:
-        if v is None:
-            return "<c/>"
-        if isinstance(v, (int, float)) and not isinstance(v, bool) or type(v).__name__ == "Decimal":
-            return f"<c><v>{v}</v></c>"
-        return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
+def _cell(v, style: int = 0) -> str:
+    """A cell; null and empty text leave it empty."""
+    if v is None or v == "":
+        return "<c/>"
+    if isinstance(v, Decimal):
+        return f'<c s="{MONEY}"><v>{v}</v></c>'
+    if isinstance(v, datetime.date):
+        return f'<c s="{DATE}"><v>{(v - _DAY_0).days}</v></c>'
+    if isinstance(v, (int, float)) and not isinstance(v, bool):
+        return f"<c><v>{v}</v></c>"
+    return f'<c s="{style}" t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
 
+
+def write_workbook(sheets: dict[str, DataFrame], path: str, max_rows: int = 100_000) -> None:
+    """A workbook for reading by people, with fixed heads, filters and number formats; sheets over ``max_rows`` are an error, write those as tables."""
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         names = list(sheets)
         for i, name in enumerate(names, 1):
-            rows = sheets[name].limit(max_rows + 1).collect()
+            columns, rows = sheets[name].columns, sheets[name].limit(max_rows + 1).collect()
             if len(rows) > max_rows:
                 raise ValueError(f"sheet {name} has over {max_rows} rows")
-            body = "".join(f"<row>{''.join(map(cell, r))}</row>" for r in [tuple(sheets[name].columns), *rows])
-            z.writestr(f"xl/worksheets/sheet{i}.xml", f"<worksheet {ns}><sheetData>{body}</sheetData></worksheet>")
+            head = "".join(_cell(c, HEAD) for c in columns)
+            body = f"<row>{head}</row>" + "".join(f"<row>{''.join(map(_cell, r))}</row>" for r in rows)
+            widths = "".join(f'<col min="{k}" max="{k}" width="{max(12, min(60, 2 + max([len(c), *(len(str(r[k - 1])) for r in rows[:200])])))}" customWidth="1"/>' for k, c in enumerate(columns, 1))
+            fixed = '<sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews>'
+            z.writestr(f"xl/worksheets/sheet{i}.xml", f'<worksheet {ns}>{fixed}<cols>{widths}</cols><sheetData>{body}</sheetData><autoFilter ref="A1:{_column(len(columns) - 1)}{len(rows) + 1}"/></worksheet>')
         rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
         kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
-        z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{escape(n)[:31]}" sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(names, 1)) + "</sheets></workbook>")
+        hidden = lambda n: ' state="hidden"' if n.startswith("_") else ""
+        z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{escape(n)[:31]}" sheetId="{i}"{hidden(n)} r:id="r{i}"/>' for i, n in enumerate(names, 1)) + "</sheets></workbook>")
+        z.writestr("xl/styles.xml", f"<styleSheet {ns}>{STYLES}</styleSheet>")
         pk = "http://schemas.openxmlformats.org/package/2006"
-        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{pk}/relationships">' + "".join(f'<Relationship Id="r{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(names) + 1)) + "</Relationships>")
+        listed = "".join(f'<Relationship Id="r{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(names) + 1))
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{pk}/relationships">{listed}<Relationship Id="s" Type="{rel}/styles" Target="styles.xml"/></Relationships>')
         z.writestr("_rels/.rels", f'<Relationships xmlns="{pk}/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        z.writestr("[Content_Types].xml", f'<Types xmlns="{pk}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/>' + "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kind}.worksheet+xml"/>' for i in range(1, len(names) + 1)) + "</Types>")
-
-
+        parts = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kind}.worksheet+xml"/>' for i in range(1, len(names) + 1))
+        z.writestr(
+            "[Content_Types].xml",
+            f'<Types xmlns="{pk}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="{kind}.styles+xml"/>{parts}</Types>',
+        )

@@ -120,6 +120,11 @@ def test_masking_twice_changes_nothing(spark, rows, least):
     assert least == 2 or [t.replace("_", P.NAME) for t in again] == once
 
 
+def test_fixture_text(spark):
+    text = "IBAN DE12 3456 7890 1234 5678 90 BIC GENODEF1XYZ\nAnna Maria Berg, Weg 1 EREF: A-77 12345678901 abcDEF1234567890 1.234,56 Kd 88"
+    assert one(spark, lambda x: masking.as_fixture(x, ["Berg", "Anna Maria Berg"], ["Weg 1"]), text) == ["IBAN DE00 0000 0000 0000 0000 00 BIC BICXXXXX\nNAME, ADRESSE EREF: REF REFNR REF 1.234,56 Kd 0000000"]
+
+
 def test_iban_and_bic(spark):
     assert one(spark, masking.mask_iban, "von DE12 3456 7890 1234 5678 90 und DE12345678901234567890") == ["von DE**...7890 und DE**...7890"]
     assert one(spark, masking.mask_bic, "BIC: GENODEF1XYZ und COBADEFF7XX") == ["BIC: BIC*** und BIC***"]

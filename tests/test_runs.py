@@ -48,3 +48,93 @@ def test_bad_documents_have_an_error(spark, tmp_path):
     assert [(r.quelle_pdf, r.ocr_text) for r in got] == [("a.pdf", None)] and got[0].fehler
     assert [recognise.page_number(x) for x in ("page-2.png", "page-10.png", "page.png")] == [2, 10, 0]
     assert isinstance(recognise.missing_programs(), list) and (recognise.has_language("nirgendwo") is False)
+
+
+def test_grey_maps_are_prepared(tmp_path):
+    import numpy as np
+
+    from kontolith.sources import recognise
+
+    grey = np.full((20, 30), 200, np.uint8)
+    grey[5:15, 5:15] = 60
+    grey[2, 25] = 0  # a speck
+    want = np.where(grey == 60, 0, 255)
+    got = recognise.prepared(grey)
+    assert (got[6:14, 6:14] == 0).all() and got[2, 25] == 255 and (got != want).sum() <= 4
+    f = tmp_path / "page-1.pgm"
+    f.write_bytes(b"P5\n30 20\n255\n" + grey.tobytes())
+    recognise.prepare_file(f)
+    assert f.read_bytes() == b"P5\n30 20\n255\n" + got.tobytes()
+    f.write_bytes(b"odd")
+    recognise.prepare_file(f)
+    assert f.read_bytes() == b"odd"
+
+
+def test_archive_and_text_dump(spark, tmp_path):
+    from kontolith.sources.archive import archive_files, read_text_dump, write_text_dump
+
+    for folder in ("in", "more", "old"):
+        (tmp_path / folder).mkdir()
+    for f in ("in/a.txt", "more/a.txt", "old/a.txt", "in/b"):
+        (tmp_path / f).write_text(f)
+    got = archive_files(spark, [f"file:{tmp_path}/{f}" for f in ("in/a.txt", "more/a.txt", "in/b")], f"file:{tmp_path}/old")
+    assert sorted(p.name for p in (tmp_path / "old").iterdir() if not p.name.startswith(".")) == ["a.txt", "a_2.txt", "a_3.txt", "b"] and len(got) == 3
+    docs = spark.createDataFrame([("a.pdf", "one\ntwo"), ("b c.txt", "three")], "quelle_pdf string, ocr_text string")
+    write_text_dump(docs, str(tmp_path / "dump"))
+    assert {(r.quelle_pdf, r.ocr_text) for r in read_text_dump(spark, str(tmp_path / "dump")).collect()} == {("a", "one\ntwo"), ("b c", "three")}
+
+
+def test_model_client(spark):
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from kontolith.operators.categorize import ask
+    from kontolith.sources.model import ModelClient, categories_of, model_of
+
+    calls = []
+
+    class Model(BaseHTTPRequestHandler):
+        def log_message(self, *_):
+            pass
+
+        def answer(self, data):
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(data).encode())
+
+        def do_GET(self):
+            self.answer({"data": []})
+
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            calls.append(body)
+            if len(calls) == 1:
+                return self.send_error(500)
+            lines = body["messages"][1]["content"].splitlines()
+            self.answer({"choices": [{"message": {"content": json.dumps({"ergebnis": [{"i": i, "kategorie": "TANKEN"} for i in range(len(lines))]})}}]})
+
+    server = HTTPServer(("127.0.0.1", 0), Model)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    client = ModelClient(f"http://127.0.0.1:{server.server_port}/", "m", 10)
+    assert client.reachable() and not ModelClient("http://127.0.0.1:9", "m").reachable() and model_of(Settings(model_enabled=False)) is None
+    df = spark.createDataFrame([(f"z{i}",) for i in range(7)], "verwendungszweck string")
+    assert {r.kategorie for r in ask(df, client, batch=3).collect()} == {"Tanken"} and len(calls) == 4
+    server.shutdown()
+    assert categories_of('[{"index": 2, "kategorie": "fixkosten"}, {"i": 1, "kategorie": "Unsinn"}, 5]') == {2: "Fixkosten"}
+
+
+def test_workbooks_and_archive_of_a_run(spark, tmp_path):
+    import zipfile
+
+    texts, out = tmp_path / "texts", str(tmp_path / "out")
+    texts.mkdir()
+    (texts / "a.txt").write_text(TEXT)
+    (texts / "b.txt").write_text(TEXT.replace("12345678", "87654321").replace("30,00", "31,00").replace("75,00", "74,00"))
+    assert main(["run", str(texts), "--out", out, "--workbook", "--archive", str(tmp_path / "done")]) == 0
+    with zipfile.ZipFile(f"{out}/full.xlsx") as z:
+        book, first = z.read("xl/workbook.xml").decode(), z.read("xl/worksheets/sheet2.xml").decode()
+    names = [x.split('"')[0] for x in book.split('<sheet name="')[1:]]
+    assert names == ["Konten", "Journal_4321", "Wiederkehrend_4321", "Journal_5678", "Wiederkehrend_5678", "Fixkosten", "Fixkosten_Summe", "Konsum", "Konsum_Summe", "Pruefen", "_Daten"]
+    assert 'state="hidden"' in book and 'state="frozen"' in first and "autoFilter" in first and '<c s="2"><v>-31.00</v></c>' in first
+    assert sorted(p.name for p in (tmp_path / "done").iterdir() if p.suffix == ".txt") == ["a.txt", "b.txt"] and not list(texts.glob("*.txt"))
