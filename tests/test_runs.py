@@ -26,7 +26,7 @@ def test_run_twice_keeps_each_booking_once(spark, tmp_path):
     texts, out = tmp_path / "texts", str(tmp_path / "out")
     texts.mkdir()
     (texts / "a.txt").write_text(TEXT)
-    assert main(["dry-run", str(texts)]) == 0
+    assert main(["dry-run", str(texts), "--out", str(tmp_path / "dry")]) == 0
     for _ in range(2):
         assert main(["run", str(texts), "--out", out]) == 0
     rows = read_state(spark, f"{out}/state").collect()
