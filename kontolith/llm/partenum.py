@@ -331,8 +331,8 @@ def jaccard_classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     slim = cut(set_keys(docs, width), "sets", TEXT_ROWS)
     real = slim.where("n_shingles > 0 and doc_id is not null")
     content = ["n_shingles", "key_a", "key_b"]
-    copies = real.groupBy(*content).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
-    by_rep = cut(real.join(copies, content).where("doc_id <> rep").groupBy("doc_id").agg(F.collect_set("rep").alias("reps"), F.count("*").alias("n")), "copies")
+    copies = cut(real.groupBy(*content).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1"), "copied-contents")
+    by_rep = cut(hot_join(real.select("doc_id", *content), copies, content, "n", ["rep"]).where("doc_id <> rep").groupBy("doc_id").agg(F.collect_set("rep").alias("reps"), F.count("*").alias("n")), "copies")
     same = by_rep.select("doc_id", F.explode("reps").alias("rep"))
     # documents of which every row copies another need no signatures
     idle = cut(by_rep.join(real.groupBy("doc_id").agg(F.count("*").alias("all")), "doc_id").where("n = all").select("doc_id"), "idle")
