@@ -1,8 +1,8 @@
 """Corpus cleaning pipeline over ``documents``: each stage calls one training-data operator and works on all that the last kept.
 
 ``run`` writes every stage's result as Parquet to the shared folder and reads it again for the next. No stage can be
-said in SQL as a whole (rules and scores are learned, packing is a heuristic), so ``ORACLE_SQL`` is None; the tests hold
-each stage's rows against a plain Python version of it.
+said in SQL as a whole (rules and scores are learned, packing is a heuristic), so ``ORACLE_SQL`` is None; the tests
+compare the documents that each stage keeps with those planted for it, and the operators with brute force.
 """
 
 from __future__ import annotations
