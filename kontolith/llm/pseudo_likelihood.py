@@ -1,14 +1,17 @@
 """Document scores by masked pseudo-likelihood of a bidirectional window network (operator 2).
 
-Every token is predicted from the tokens on both its sides: a class given the two neighbouring classes by a small network
-(an embedding per side, a tanh layer, a softmax), then the word within its class by corpus counts. Frequent words are
-classes of their own, rarer ones share a class by frequency, words outside the vocabulary are one class. The vocabulary,
-which every task holds, grows with the square root of the words counted and the classes with the sixth root of the
-tokens; the counts of all other words stay a table, to which their occurrences are joined, so each has its own probability.
-
-What is learned comes from all documents: word counts, and how often each class stands between each two classes. These
-counts are all that the network needs to be trained on every token of the corpus, so training in numpy on the driver
-takes time by the classes only (the square root of the corpus), and its result doesn't depend on how the rows are dealt out.
+Every token is predicted from two tokens on each side: its class by a small network (an embedding per place, a tanh
+layer, a softmax), then the word within its class by corpus counts. The nearest neighbours enter by their class, the
+second ones by a group of classes. The most frequent words are classes of their own; the other words of the vocabulary
+share classes learned from the company they keep (:func:`clustered`); words outside the vocabulary are one class. The
+vocabulary, which every task holds, grows with the square root of the words counted and the classes with the sixth root
+of the tokens; the counts of all other words stay a table, to which their occurrences are joined, so each has its own
+probability.
+
+What is learned comes from all documents: word counts, beside which words each word of the vocabulary stands, and how
+often each class stands in each window. These counts are all that the network needs to be trained on every token of the
+corpus, so training in numpy on the driver takes time by the classes only (the square root of the corpus), and its result
+doesn't depend on how the rows are dealt out.
 """
 
 from __future__ import annotations
@@ -36,7 +39,8 @@ class WindowModel:
     classes: np.ndarray  # their classes
     within: np.ndarray  # log probability of each within its class
     outside: float  # log probability of a word counted once of the last class, which holds what is not in the vocabulary
-    log_p: np.ndarray  # [left, right, class]; the edge of a text is class number n_classes
+    log_p: np.ndarray  # [left, right, group of the second left, of the second right, class]; the edge of a text is the last of each
+    groups: np.ndarray  # the group of each class and of the edge
     n_classes: int
     perplexity: float
     rare: DataFrame  # (word, n) of the last class, counted more than once
@@ -69,69 +73,135 @@ def _classes_of(h: np.ndarray, words: np.ndarray, classes: np.ndarray, n_classes
     return np.where(known, classes[at], n_classes - 1), np.where(known, at, -1)
 
 
-def _windows(c: np.ndarray, counts: np.ndarray, edge: int) -> tuple[np.ndarray, np.ndarray]:
-    """Left and right neighbour of each token; ``edge`` at the ends of a text."""
-    left, right = np.empty_like(c), np.empty_like(c)
-    if len(c):
-        left[1:], right[:-1] = c[:-1], c[1:]
-        ends = np.cumsum(counts[counts > 0])
-        left[np.concatenate(([0], ends[:-1]))] = edge
-        right[ends - 1] = edge
+def _neighbours(c: np.ndarray, counts: np.ndarray, edge: int, apart: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """What stands ``apart`` tokens to the left and to the right of each token; ``edge`` beyond the ends of a text."""
+    left, right = np.full_like(c, edge), np.full_like(c, edge)
+    if len(c) > apart:
+        row = np.repeat(np.arange(len(counts)), counts)
+        same = row[apart:] == row[:-apart]
+        left[apart:] = np.where(same, c[:-apart], edge)
+        right[:-apart] = np.where(same, c[apart:], edge)
     return left, right
 
 
-def window_counts(docs: DataFrame, words: np.ndarray, classes: np.ndarray, n_classes: int) -> DataFrame:
-    """``(cell, n)`` over all documents; cell = (left * (n_classes + 1) + right) * n_classes + class."""
+def _contexts(c: np.ndarray, counts: np.ndarray, n_classes: int, groups: np.ndarray) -> np.ndarray:
+    """The number of each token's window: ``((left * side + right) * n_groups + group of second left) * n_groups + of second right``."""
+    side, n_groups = n_classes + 1, int(groups.max()) + 1
+    left, right = _neighbours(c, counts, n_classes)
+    second, other = _neighbours(c, counts, n_classes, 2)
+    return ((left * side + right) * n_groups + groups[second]) * n_groups + groups[other]
 
-    def make():
-        hasher, side = WordHasher(lower=True), n_classes + 1
 
-        def step(batch: pa.RecordBatch):
+def _tallies(docs: DataFrame, size: int, cells_of) -> DataFrame:
+    """``(cell, n)`` over all documents; a task holds ``size`` counts and hands them on once, at its end."""
+
+    def run(batches):
+        hasher, n = WordHasher(lower=True), np.zeros(size, np.int64)
+        for batch in batches:
             h, counts = hasher(batch.column(0))
-            if not len(h):
-                return None
-            c, _ = _classes_of(h, words, classes, n_classes)
-            left, right = _windows(c, counts, n_classes)
-            n = np.bincount((left * side + right) * n_classes + c, minlength=side * side * n_classes)
-            at = np.flatnonzero(n)
-            return pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["cell", "n"])
+            if len(h):
+                cells, k = np.unique(cells_of(h, counts), return_counts=True)
+                n[cells] += k
+        at = np.flatnonzero(n)
+        for i in range(0, len(at), 1 << 16):
+            part = at[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(n[part])], ["cell", "n"])
 
-        return step
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+
+
+def window_counts(docs: DataFrame, words: np.ndarray, classes: np.ndarray, n_classes: int, groups: np.ndarray | None = None) -> DataFrame:
+    """``(cell, n)`` over all documents; cell = number of the window (:func:`_contexts`) * n_classes + class. Without ``groups`` second neighbours count as equal."""
+    groups = np.zeros(n_classes + 1, int) if groups is None else groups
+
+    def cells_of(h, counts):
+        c, _ = _classes_of(h, words, classes, n_classes)
+        return _contexts(c, counts, n_classes, groups) * n_classes + c
+
+    return _tallies(docs, ((n_classes + 1) * (int(groups.max()) + 1)) ** 2 * n_classes, cells_of)
+
+
+def company(docs: DataFrame, words: np.ndarray, classes: np.ndarray, n_classes: int) -> np.ndarray:
+    """``[word, neighbour]`` counts over all documents: of which class the left and the right neighbours of each word are.
 
-    return map_batches(docs.select(F.col("text").cast("string")), make, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    The last row is for all words outside the vocabulary; the edge of a text counts as a class.
+    """
+    side, n_words = n_classes + 1, len(words)
+
+    def cells_of(h, counts):
+        c, at = _classes_of(h, words, classes, n_classes)
+        left, right = _neighbours(c, counts, n_classes)
+        row = np.where(at >= 0, at, n_words) * 2 * side
+        return np.concatenate((row + left, row + side + right))
+
+    got = _tallies(docs, (n_words + 1) * 2 * side, cells_of).toArrow()  # a row per count at most: the vocabulary, which grows with the root of the types
+    n = np.zeros((n_words + 1) * 2 * side, np.int64)
+    n[got.column("cell").to_numpy()] = got.column("n").to_numpy()
+    return n.reshape(n_words + 1, 2 * side)
 
 
-def train_network(counts: np.ndarray, width: int = 32, rounds: int = 300, rate: float = 0.03, seed: int = 5) -> tuple[np.ndarray, float]:
-    """Log probabilities ``[left, right, class]`` of a network trained on ``counts`` of that shape, and its perplexity on them."""
-    side, _, k = counts.shape
-    n = counts.reshape(side * side, k).astype(float)
-    total = n.sum()
+def clustered(n: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
+    """A cluster of 0 .. k-1 for each row of the counts ``n``: rows of like proportions together.
+
+    Likeliest assignment to ``k`` multinomials in turns with their re-estimate; a row begins with the column that is most
+    above its expected share. Nothing is drawn at random.
+    """
+    n = n.astype(float)
+    share = n.sum(0) / max(1.0, n.sum())
+    wanted = n.sum(1, keepdims=True) * share
+    above = (n - wanted) / np.sqrt(wanted + 1e-9)
+    first = above.argmax(1)
+    # the k columns that most of the counts begin with have a cluster of their own, rows of the others the best of these
+    heads = np.argsort(-np.bincount(first, n.sum(1), n.shape[1]), kind="stable")[:k]
+    at = above[:, heads].argmax(1)
+    for _ in range(rounds):
+        total = np.zeros((k, n.shape[1]))
+        np.add.at(total, at, n)
+        logs = np.log(total + 10 * share + 1e-9) - np.log(total.sum(1, keepdims=True) + 10)
+        new = (n @ logs.T).argmax(1)
+        if (new == at).all():
+            break
+        at = new
+    return at
+
+
+def train_network(counts: np.ndarray, width: int = 32, rounds: int = 150, rate: float = 0.05, seed: int = 5) -> tuple[np.ndarray, float]:
+    """Log probabilities of the class (last axis) for what stands in each place of the window (the other axes).
+
+    The network is trained on ``counts`` of that shape; its perplexity on them comes second.
+    """
+    *places, k = counts.shape
+    n = counts.reshape(-1, k)
     at = np.flatnonzero(n.any(1))  # contexts that occur; the others add nothing to the gradient
-    n = n[at]
+    n = n[at].astype(np.float32)
     seen = n.sum(1, keepdims=True)
-    l, r = np.divmod(at, side)
-    of_l, of_r = (np.equal.outer(np.arange(side), x).astype(float) for x in (l, r))
+    total = float(seen.sum(dtype=float))
     rng = np.random.default_rng(seed)
-    p = {"l": rng.normal(0, 0.1, (side, width)), "r": rng.normal(0, 0.1, (side, width)), "b": np.zeros(width), "w": rng.normal(0, 0.1, (width, k)), "c": np.log((n.sum(0) + 1) / (total + k))}
+    p = {i: rng.normal(0, 0.1, (size, width)) for i, size in enumerate(places)}
+    p |= {"b": np.zeros(width), "w": rng.normal(0, 0.1, (width, k)), "c": np.log((n.sum(0, dtype=float) + 1) / (total + k))}
+    p = {a: x.astype(np.float32) for a, x in p.items()}
     m, v = {a: np.zeros_like(x) for a, x in p.items()}, {a: np.zeros_like(x) for a, x in p.items()}
+    one_hot = [np.equal.outer(np.arange(size), x).astype(np.float32) for size, x in zip(places, np.unravel_index(at, places))]
 
-    def forward(l=l, r=r):
-        h = np.tanh(p["l"][l] + p["r"][r] + p["b"])
+    def forward(context):
+        h = np.tanh(sum(p[i][x] for i, x in enumerate(np.unravel_index(context, places))) + p["b"])
         z = h @ p["w"] + p["c"]
         z -= z.max(1, keepdims=True)
         return h, z - np.log(np.exp(z).sum(1, keepdims=True))
 
     for t in range(1, rounds + 1 if total else 1):
-        h, logs = forward()
-        d = (np.exp(logs) * seen - n) / total
+        h, logs = forward(at)
+        d = (np.exp(logs) * seen - n) / np.float32(total)
         dh = (d @ p["w"].T) * (1 - h * h)
-        grad = {"w": h.T @ d, "c": d.sum(0), "b": dh.sum(0), "l": of_l @ dh, "r": of_r @ dh}
+        grad = {"w": h.T @ d, "c": d.sum(0), "b": dh.sum(0), **{i: x @ dh for i, x in enumerate(one_hot)}}
         for a in p:
             m[a] = 0.9 * m[a] + 0.1 * grad[a]
             v[a] = 0.999 * v[a] + 0.001 * grad[a] ** 2
             p[a] = p[a] - rate * (m[a] / (1 - 0.9**t)) / (np.sqrt(v[a] / (1 - 0.999**t)) + 1e-9)
-    _, logs = forward(*np.divmod(np.arange(side * side), side))
-    return logs.reshape(side, side, k), float(np.exp(-(n * logs[at]).sum() / total)) if total else 1.0
+            p[a] = p[a].astype(np.float32)
+    _, logs = forward(np.arange(int(np.prod(places))))
+    perplexity = float(np.exp(-(n * logs[at]).sum(dtype=float) / total)) if total else 1.0
+    return logs.reshape(counts.shape), perplexity
 
 
 def grown(n_classes: int, own: int, tokens: int) -> tuple[int, int]:
@@ -140,11 +210,19 @@ def grown(n_classes: int, own: int, tokens: int) -> tuple[int, int]:
     return int(n_classes * times), int(own * times)
 
 
-def fit(docs: DataFrame, vocabulary: int = 50_000, n_classes: int = 64, own: int = 40, growth: int = 64) -> WindowModel:
+def by_rank(n_words: int, own: int, n_classes: int, most: int) -> np.ndarray:
+    """Classes of words in order of frequency: ``own`` alone, the others of ``most`` in bins of equal ratio; the last class is left out."""
+    rank, shared = np.arange(n_words), n_classes - 1 - own
+    ratio = np.log(max(2.0, most / own)) / shared
+    return np.where(rank < own, rank, own + np.minimum((np.log(np.maximum(rank, own) / own) / ratio).astype(int), shared - 1))
+
+
+def fit(docs: DataFrame, vocabulary: int = 50_000, n_classes: int = 64, own: int = 24, growth: int = 64, features: int = 32, n_groups: int = 3) -> WindowModel:
     """Count, form classes and train.
 
     The vocabulary is the most frequent words of all documents, at most ``vocabulary`` or ``growth`` times the root of
-    all words if that is more. ``n_classes`` and ``own`` hold for small tables (see :func:`grown`).
+    all words if that is more. ``n_classes`` and ``own`` hold for small tables (see :func:`grown`). A word's company is
+    told by ``features`` classes of frequency; second neighbours by ``n_groups`` groups and the edge.
     """
     counted = cut(word_counts(docs), "word-counts")
     tokens, types = counted.agg(F.sum("n"), F.count("*")).first()
@@ -157,22 +235,30 @@ def fit(docs: DataFrame, vocabulary: int = 50_000, n_classes: int = 64, own: int
     order = np.lexsort((h, -n))
     h, n = np.ascontiguousarray(h[order]).view(np.uint64), n[order]
     rare = counted.where(~often & (F.col("n") > 1))
-    # ranks 0 .. own-1 alone, the others in bins of equal ratio, the last class for what is outside
-    rank = np.arange(len(h))
-    shared = n_classes - 1 - own
-    ratio = np.log(max(2.0, vocabulary / own)) / shared
-    classes = np.where(rank < own, rank, own + np.minimum((np.log(np.maximum(rank, own) / own) / ratio).astype(int), shared - 1))
+    by_hash = np.argsort(h)
+    words = h[by_hash]
+    outside = -float(np.log(max(1, tokens - int(n.sum()))))
+
+    alone = max(1, min(own, features // 2))
+    beside = company(docs, words, by_rank(len(h), alone, features, vocabulary)[by_hash], features)
+    rank = np.empty(len(h), int)
+    rank[by_hash] = np.arange(len(h))  # the place of the i-th most frequent word among the hashes
+    classes = np.arange(len(h))
+    classes[own:] = own + clustered(beside[rank[own:]], n_classes - 1 - own) if len(h) > own else 0
+    of_class = np.zeros((n_classes, beside.shape[1]), np.int64)
+    np.add.at(of_class, classes, beside[rank])
+    of_class[n_classes - 1] += beside[len(h)]
+    groups = np.append(clustered(of_class, n_groups), n_groups)
+
     class_sum = np.bincount(classes, n, n_classes) if len(h) else np.zeros(n_classes)
     within = np.log(n / class_sum[classes]) if len(h) else np.empty(0)
-    outside = -float(np.log(max(1, tokens - int(n.sum()))))
-    order = np.argsort(h)
-    words, classes, within = h[order], classes[order], within[order]
+    classes, within = classes[by_hash], within[by_hash]
     side = n_classes + 1
-    cells = np.zeros(side * side * n_classes, np.int64)
-    got = window_counts(docs, words, classes, n_classes).toArrow()  # at most side * side * n_classes rows
+    cells = np.zeros((side * (n_groups + 1)) ** 2 * n_classes, np.int64)
+    got = window_counts(docs, words, classes, n_classes, groups).toArrow()  # as many rows as cells at most
     cells[got.column("cell").to_numpy()] = got.column("n").to_numpy()
-    log_p, perplexity = train_network(cells.reshape(side, side, n_classes))
-    return WindowModel(words, classes, within, outside, log_p.astype(np.float32), n_classes, perplexity, rare)
+    log_p, perplexity = train_network(cells.reshape(side, side, n_groups + 1, n_groups + 1, n_classes))
+    return WindowModel(words, classes, within, outside, log_p.astype(np.float32), groups, n_classes, perplexity, rare)
 
 
 def score(docs: DataFrame, model: WindowModel) -> DataFrame:
@@ -180,7 +266,8 @@ def score(docs: DataFrame, model: WindowModel) -> DataFrame:
 
     A word outside the vocabulary has its count over all tokens outside; one that was never counted is taken as counted once.
     """
-    words, classes, within, outside, log_p, n_classes = model.words, model.classes, model.within, model.outside, model.log_p, model.n_classes
+    words, classes, within, outside, groups, n_classes = model.words, model.classes, model.within, model.outside, model.groups, model.n_classes
+    log_p = model.log_p.reshape(-1, n_classes)
 
     def make():
         hasher = WordHasher(lower=True)
@@ -188,9 +275,8 @@ def score(docs: DataFrame, model: WindowModel) -> DataFrame:
         def step(batch: pa.RecordBatch):
             h, counts = hasher(batch.column(2))
             c, at = _classes_of(h, words, classes, n_classes)
-            left, right = _windows(c, counts, n_classes)
             own = np.where(at >= 0, within[at] if len(within) else 0.0, outside)
-            logs = log_p[left, right, c].astype(float) + own
+            logs = log_p[_contexts(c, counts, n_classes, groups), c].astype(float) + own
             row = np.repeat(np.arange(len(counts)), counts)
             total = np.bincount(row, logs, len(counts))
             missing = np.bincount(row, at < 0, len(counts)).astype(np.int64)

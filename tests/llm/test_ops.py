@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,9 +144,72 @@ def test_rare_words_have_their_own_probability(spark):
     assert got[20].n_outside == got[21].n_outside == 1 and len(model.words) == 2
     assert abs(got[20].log_prob - got[21].log_prob - np.log(7 / 2)) < 1e-6
     c = model.n_classes - 1
-    assert abs(got[22].log_prob - model.log_p[c + 1, c + 1, c] - np.log(7 / 9)) < 1e-6
+    assert abs(got[22].log_prob - model.log_p[c + 1, c + 1, -1, -1, c] - np.log(7 / 9)) < 1e-6
     new = pseudo_likelihood.score(documents(spark, ["never"]), model).first()
-    assert abs(new.log_prob - model.log_p[c + 1, c + 1, c] - np.log(1 / 9)) < 1e-6
+    assert abs(new.log_prob - model.log_p[c + 1, c + 1, -1, -1, c] - np.log(1 / 9)) < 1e-6
+
+
+def test_scores_equal_brute_force(spark):
+    """Each token's window of two words a side, its class and its word, walked in plain Python."""
+    from kontolith.llm.words import WordHasher
+
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.5, int(n)) if x < 300) for n in rng.integers(0, 40, 120)] + ["A b", "solo", None, ""]
+    docs = documents(spark, texts)
+    model = pseudo_likelihood.fit(docs, vocabulary=30, n_classes=12, own=6, growth=0)
+    seen = [WordHasher(lower=True)(pa.array([x], pa.string()))[0].tolist() for x in texts]
+    n = Counter(x for ws in seen for x in ws)
+    place = {int(x): i for i, x in enumerate(model.words)}
+    edge, last = model.n_classes, model.n_classes - 1
+    of = lambda x: int(model.classes[place[x]]) if x in place else last
+    outside = sum(k for x, k in n.items() if x not in place)
+    of_class = Counter()
+    for x, k in n.items():
+        of_class[of(x)] += k
+    assert outside and of_class[last] == outside
+    windows = Counter()
+    for r in pseudo_likelihood.score(docs, model).collect():
+        c = [edge, edge] + [of(x) for x in seen[r.doc_id]] + [edge, edge]
+        want = 0.0
+        for i, x in enumerate(seen[r.doc_id], 2):
+            at = c[i - 1], c[i + 1], int(model.groups[c[i - 2]]), int(model.groups[c[i + 2]]), c[i]
+            windows[at] += 1
+            want += float(model.log_p[at]) + np.log(n[x] / of_class[c[i]])
+        assert abs(r.log_prob - want) < 1e-4 and r.n_tokens == len(seen[r.doc_id])
+    shape = model.log_p.shape
+    got = {np.unravel_index(r.cell, shape): r.n for r in pseudo_likelihood.window_counts(docs, model.words, model.classes, model.n_classes, model.groups).collect()}
+    assert got == dict(windows) and np.allclose(np.exp(model.log_p).sum(-1), 1, atol=1e-4)
+
+
+def test_company_and_clusters(spark):
+    docs = documents(spark, ["a b a", "b c", None, ""])
+    hashes = pseudo_likelihood.WordHasher(lower=True)(pa.array(["a b"]))[0]
+    words = np.sort(hashes)
+    a, b = (int(np.searchsorted(words, x)) for x in hashes)
+    n = pseudo_likelihood.company(docs, words, np.array([0, 1]) if a == 0 else np.array([1, 0]), 3)  # a: class 0, b: 1, c: 2, edge: 3
+    assert n[a].tolist() == [0, 1, 0, 1, 0, 1, 0, 1] and n[b].tolist() == [1, 0, 0, 1, 1, 0, 1, 0] and n[2].tolist() == [0, 1, 0, 0, 0, 0, 0, 1]
+    rows = np.array([[9, 0, 0], [0, 8, 1], [90, 3, 0], [1, 70, 0], [0, 0, 50]])
+    at = pseudo_likelihood.clustered(rows, 3)
+    assert at[0] == at[2] and at[1] == at[3] and len(set(at)) == 3
+    assert pseudo_likelihood.clustered(np.zeros((4, 3), int), 2).max() < 2
+
+
+def test_both_sides_tell_more_than_one(spark):
+    """Held-out documents: likelier than by word counts; the trained windows less perplexed than by their left sides alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    model = pseudo_likelihood.fit(docs.where(~held))
+    total = pseudo_likelihood.score(docs.where(held), model).agg(F.sum("log_prob"), F.sum("n_tokens")).first()
+    seen = pseudo_likelihood.word_counts(docs.where(~held))
+    tokens = seen.agg(F.sum("n")).first()[0]
+    new = pseudo_likelihood.word_counts(docs.where(held)).withColumnRenamed("n", "k").join(seen, "word", "left")
+    by_count = new.agg(F.sum(F.col("k") * F.log(F.coalesce("n", F.lit(1)) / F.lit(tokens)))).first()[0]
+    assert total[0] / total[1] > by_count / total[1] + 0.3
+    cells = np.zeros(model.log_p.size, np.int64)
+    for r in pseudo_likelihood.window_counts(docs.where(~held), model.words, model.classes, model.n_classes, model.groups).collect():
+        cells[r.cell] = r.n
+    left = cells.reshape(model.log_p.shape).sum((1, 3))
+    assert model.perplexity < 0.95 * pseudo_likelihood.train_network(left)[1]
 
 
 def test_classes_and_vocabulary_grow(spark):
