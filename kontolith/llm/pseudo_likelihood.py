@@ -31,6 +31,8 @@ from kontolith.llm.words import WordHasher
 LEAST_TOKENS = 1 << 24
 #: Logarithms of counts are summed as integers of this unit, so that sums don't depend on their order.
 UNIT = float(1 << 32)
+#: Rows whose words are held as arrays at once: an Arrow batch may have ten thousand, and each word needs some ten numbers.
+PART_ROWS = 512
 
 
 @dataclass
@@ -92,20 +94,26 @@ def _contexts(c: np.ndarray, counts: np.ndarray, n_classes: int, groups: np.ndar
     return ((left * side + right) * n_groups + groups[second]) * n_groups + groups[other]
 
 
+def _parts(batch: pa.RecordBatch):
+    """The batch in parts of :data:`PART_ROWS` rows."""
+    for i in range(0, batch.num_rows, PART_ROWS):
+        yield batch.slice(i, PART_ROWS)
+
+
 def _tallies(docs: DataFrame, size: int, cells_of) -> DataFrame:
     """``(cell, n)`` over all documents; a task holds ``size`` counts and hands them on once, at its end."""
 
     def run(batches):
         hasher, n = WordHasher(lower=True), np.zeros(size, np.int64)
-        for batch in batches:
-            h, counts = hasher(batch.column(0))
+        for part in (p for batch in batches for p in _parts(batch)):
+            h, counts = hasher(part.column(0))
             if len(h):
                 cells, k = np.unique(cells_of(h, counts), return_counts=True)
                 n[cells] += k
         at = np.flatnonzero(n)
         for i in range(0, len(at), 1 << 16):
-            part = at[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(n[part])], ["cell", "n"])
+            some = at[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["cell", "n"])
 
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
 
@@ -272,7 +280,7 @@ def score(docs: DataFrame, model: WindowModel) -> DataFrame:
     def make():
         hasher = WordHasher(lower=True)
 
-        def step(batch: pa.RecordBatch):
+        def one(batch: pa.RecordBatch):
             h, counts = hasher(batch.column(2))
             c, at = _classes_of(h, words, classes, n_classes)
             own = np.where(at >= 0, within[at] if len(within) else 0.0, outside)
@@ -284,7 +292,7 @@ def score(docs: DataFrame, model: WindowModel) -> DataFrame:
             rare = pa.ListArray.from_arrays(pa.array(ends), pa.array(h[at < 0].view(np.int64)))
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts), pa.array(missing), pa.array(total), rare], ["rid", "doc_id", "n_tokens", "n_outside", "log_prob", "rare"])
 
-        return step
+        return lambda batch: map(one, _parts(batch))
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
     held = cut(map_batches(rows, make, "rid long, doc_id long, n_tokens long, n_outside long, log_prob double, rare array<long>"), "window-scores")
