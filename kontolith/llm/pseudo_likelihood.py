@@ -118,6 +118,16 @@ def _tallies(docs: DataFrame, size: int, cells_of) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
+def _gathered(tallies: DataFrame, size: int) -> np.ndarray:
+    """All of at most ``size`` tallies as an array on the driver."""
+    n, got = np.zeros(size, np.int64), tallies.toArrow()
+    for cells, k in zip(got.column("cell").chunks, got.column("n").chunks):
+        n[cells.to_numpy()] = k.to_numpy()
+    del got
+    pa.default_memory_pool().release_unused()
+    return n
+
+
 def window_counts(docs: DataFrame, words: np.ndarray, classes: np.ndarray, n_classes: int, groups: np.ndarray | None = None) -> DataFrame:
     """``(cell, n)`` over all documents; cell = number of the window (:func:`_contexts`) * n_classes + class. Without ``groups`` second neighbours count as equal."""
     groups = np.zeros(n_classes + 1, int) if groups is None else groups
@@ -142,10 +152,8 @@ def company(docs: DataFrame, words: np.ndarray, classes: np.ndarray, n_classes:
         row = np.where(at >= 0, at, n_words) * 2 * side
         return np.concatenate((row + left, row + side + right))
 
-    got = _tallies(docs, (n_words + 1) * 2 * side, cells_of).toArrow()  # a row per count at most: the vocabulary, which grows with the root of the types
-    n = np.zeros((n_words + 1) * 2 * side, np.int64)
-    n[got.column("cell").to_numpy()] = got.column("n").to_numpy()
-    return n.reshape(n_words + 1, 2 * side)
+    size = (n_words + 1) * 2 * side  # the vocabulary's, which grows with the root of the types
+    return _gathered(_tallies(docs, size, cells_of), size).reshape(n_words + 1, 2 * side)
 
 
 def clustered(n: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
@@ -154,19 +162,21 @@ def clustered(n: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
     Likeliest assignment to ``k`` multinomials in turns with their re-estimate; a row begins with the column that is most
     above its expected share. Nothing is drawn at random.
     """
-    n = n.astype(float)
-    share = n.sum(0) / max(1.0, n.sum())
+    share = (n.sum(0) / max(1.0, n.sum())).astype(np.float32)
+    n = n.astype(np.float32)
     wanted = n.sum(1, keepdims=True) * share
-    above = (n - wanted) / np.sqrt(wanted + 1e-9)
+    above = n - wanted
+    above /= np.sqrt(wanted + 1e-9)
     first = above.argmax(1)
     # the k columns that most of the counts begin with have a cluster of their own, rows of the others the best of these
     heads = np.argsort(-np.bincount(first, n.sum(1), n.shape[1]), kind="stable")[:k]
     at = above[:, heads].argmax(1)
+    del wanted, above
     for _ in range(rounds):
         total = np.zeros((k, n.shape[1]))
         np.add.at(total, at, n)
         logs = np.log(total + 10 * share + 1e-9) - np.log(total.sum(1, keepdims=True) + 10)
-        new = (n @ logs.T).argmax(1)
+        new = (n @ logs.T.astype(np.float32)).argmax(1)
         if (new == at).all():
             break
         at = new
@@ -257,14 +267,14 @@ def fit(docs: DataFrame, vocabulary: int = 50_000, n_classes: int = 64, own: int
     np.add.at(of_class, classes, beside[rank])
     of_class[n_classes - 1] += beside[len(h)]
     groups = np.append(clustered(of_class, n_groups), n_groups)
+    del beside
 
     class_sum = np.bincount(classes, n, n_classes) if len(h) else np.zeros(n_classes)
     within = np.log(n / class_sum[classes]) if len(h) else np.empty(0)
     classes, within = classes[by_hash], within[by_hash]
     side = n_classes + 1
-    cells = np.zeros((side * (n_groups + 1)) ** 2 * n_classes, np.int64)
-    got = window_counts(docs, words, classes, n_classes, groups).toArrow()  # as many rows as cells at most
-    cells[got.column("cell").to_numpy()] = got.column("n").to_numpy()
+    size = (side * (n_groups + 1)) ** 2 * n_classes
+    cells = _gathered(window_counts(docs, words, classes, n_classes, groups), size)
     log_p, perplexity = train_network(cells.reshape(side, side, n_groups + 1, n_groups + 1, n_classes))
     return WindowModel(words, classes, within, outside, log_p.astype(np.float32), groups, n_classes, perplexity, rare)
 
