@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kontolith.llm.common import cut, map_batches, most_frequent
+from kontolith.llm.common import cut, drop_cut, map_batches, most_frequent
 from kontolith.llm.words import WordHasher
 
 #: Tokens up to which the classes are as many as asked for.
@@ -33,6 +33,43 @@ LEAST_TOKENS = 1 << 24
 UNIT = float(1 << 32)
 #: Rows whose words are held as arrays at once: an Arrow batch may have ten thousand, and each word needs some ten numbers.
 PART_ROWS = 512
+#: Counts that a task holds while it tallies; cells that get in each other's way are handed on early.
+SLOTS = 1 << 22
+#: Cells that are gathered at once, and contexts that the network sees at once.
+GATHERED, SEEN = 1 << 24, 1 << 14
+
+
+@dataclass
+class Network:
+    """An embedding per place of the window, a tanh layer and a softmax over ``n_classes``."""
+
+    places: tuple[int, ...]  # how many things each place can hold
+    n_classes: int
+    p: dict
+
+    def inner(self, context: np.ndarray) -> np.ndarray:
+        return np.tanh(sum(self.p[i][x] for i, x in enumerate(np.unravel_index(context, self.places))) + self.p["b"])
+
+    def outer(self, inner: np.ndarray) -> np.ndarray:
+        z = inner @ self.p["w"] + self.p["c"]
+        z -= z.max(1, keepdims=True)
+        return z - np.log(np.exp(z).sum(1, keepdims=True))
+
+    def logs(self, context: np.ndarray) -> np.ndarray:
+        """Log probabilities ``[context, class]`` in whole multiples of 1 / :data:`UNIT`, so that they don't depend on what is asked together."""
+        exact = Network(self.places, self.n_classes, {a: x.astype(float) for a, x in self.p.items()})
+        return np.round(exact.outer(exact.inner(context)) * UNIT) / UNIT
+
+    def log_of(self, context: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The log probability of each ``c`` in its ``context``, worked out once for each different context."""
+        out = np.empty(len(c))
+        seen, at = np.unique(context, return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        ends = np.searchsorted(at[order], np.arange(0, len(seen) + SEEN, SEEN))
+        for i in range(len(ends) - 1):
+            here = order[ends[i] : ends[i + 1]]
+            out[here] = self.logs(seen[i * SEEN : (i + 1) * SEEN])[at[here] - i * SEEN, c[here]]
+        return out
 
 
 @dataclass
@@ -41,12 +78,17 @@ class WindowModel:
     classes: np.ndarray  # their classes
     within: np.ndarray  # log probability of each within its class
     outside: float  # log probability of a word counted once of the last class, which holds what is not in the vocabulary
-    log_p: np.ndarray  # [left, right, group of the second left, of the second right, class]; the edge of a text is the last of each
+    network: Network  # places: left, right, group of the second left, of the second right; the edge of a text is the last of each
     groups: np.ndarray  # the group of each class and of the edge
     n_classes: int
     perplexity: float
     rare: DataFrame  # (word, n) of the last class, counted more than once
 
+    @property
+    def log_p(self) -> np.ndarray:
+        """All of the network's answers: [left, right, group of the second left, of the second right, class]."""
+        return self.network.logs(np.arange(int(np.prod(self.network.places)))).reshape(*self.network.places, self.n_classes)
+
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """``(word, n)``: counts of all word hashes over all documents, counted within each batch first."""
@@ -100,32 +142,64 @@ def _parts(batch: pa.RecordBatch):
         yield batch.slice(i, PART_ROWS)
 
 
+class Tally:
+    """Counts of at most :data:`SLOTS` cells: a cell's place is its number modulo that; what must make room is handed on."""
+
+    def __init__(self, size: int):
+        self.n = np.zeros(min(max(1, size), SLOTS), np.int64)
+        self.page = np.zeros(len(self.n), np.int32)  # which of the cells of a place it is that is held
+
+    def add(self, cells: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Add the counts ``k`` of different ``cells``; the cells and counts that are handed on."""
+        page, at = np.divmod(cells, len(self.n))
+        first = np.zeros(len(at), bool)
+        first[np.unique(at, return_index=True)[1]] = True
+        late, page, at, own = (cells[~first], k[~first]), page[first], at[first], k[first]
+        out = at[(self.page[at] != page) & (self.n[at] > 0)]
+        gone = (self.page[out].astype(np.int64) * len(self.n) + out, self.n[out])
+        self.n[out] = 0
+        self.page[at] = page
+        self.n[at] += own
+        return np.concatenate((late[0], gone[0])), np.concatenate((late[1], gone[1]))
+
+    def rest(self) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(self.n)
+        return self.page[at].astype(np.int64) * len(self.n) + at, self.n[at]
+
+
 def _tallies(docs: DataFrame, size: int, cells_of) -> DataFrame:
-    """``(cell, n)`` over all documents; a task holds ``size`` counts and hands them on once, at its end."""
+    """``(cell, n)`` over all documents, cells being below ``size``; a task's memory doesn't grow with it (:class:`Tally`)."""
 
     def run(batches):
-        hasher, n = WordHasher(lower=True), np.zeros(size, np.int64)
+        hasher, tally = WordHasher(lower=True), Tally(size)
+
+        def handed(cells, n):
+            for i in range(0, len(cells), 1 << 16):
+                some = slice(i, i + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(cells[some]), pa.array(n[some])], ["cell", "n"])
+
         for part in (p for batch in batches for p in _parts(batch)):
             h, counts = hasher(part.column(0))
             if len(h):
-                cells, k = np.unique(cells_of(h, counts), return_counts=True)
-                n[cells] += k
-        at = np.flatnonzero(n)
-        for i in range(0, len(at), 1 << 16):
-            some = at[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["cell", "n"])
+                yield from handed(*tally.add(*np.unique(cells_of(h, counts), return_counts=True)))
+        yield from handed(*tally.rest())
 
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
-def _gathered(tallies: DataFrame, size: int) -> np.ndarray:
-    """All of at most ``size`` tallies as an array on the driver."""
-    n, got = np.zeros(size, np.int64), tallies.toArrow()
-    for cells, k in zip(got.column("cell").chunks, got.column("n").chunks):
-        n[cells.to_numpy()] = k.to_numpy()
-    del got
-    pa.default_memory_pool().release_unused()
-    return n
+def _gathered(tallies: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cells below ``size`` that were counted, in order, and their counts, on the driver: :data:`GATHERED` cells at a time."""
+    held, cells, n = cut(tallies, "tallies"), [], []
+    for low in range(0, size, GATHERED):
+        got = held.where((F.col("cell") >= low) & (F.col("cell") < low + GATHERED)).toArrow()
+        some = (got.column("cell").to_numpy() - low).astype(np.int32)
+        order = np.argsort(some)
+        cells.append(some[order].astype(np.int64) + low)
+        n.append(got.column("n").to_numpy()[order])
+        del got, some, order
+        pa.default_memory_pool().release_unused()
+    drop_cut(held)
+    return np.concatenate(cells), np.concatenate(n)
 
 
 def window_counts(docs: DataFrame, words: np.ndarray, classes: np.ndarray, n_classes: int, groups: np.ndarray | None = None) -> DataFrame:
@@ -153,7 +227,10 @@ def company(docs: DataFrame, words: np.ndarray, classes: np.ndarray, n_classes:
         return np.concatenate((row + left, row + side + right))
 
     size = (n_words + 1) * 2 * side  # the vocabulary's, which grows with the root of the types
-    return _gathered(_tallies(docs, size, cells_of), size).reshape(n_words + 1, 2 * side)
+    out = np.zeros(size, np.int64)
+    cells, n = _gathered(_tallies(docs, size, cells_of), size)
+    out[cells] = n
+    return out.reshape(n_words + 1, 2 * side)
 
 
 def clustered(n: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
@@ -183,43 +260,62 @@ def clustered(n: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
     return at
 
 
-def train_network(counts: np.ndarray, width: int = 32, rounds: int = 150, rate: float = 0.05, seed: int = 5) -> tuple[np.ndarray, float]:
-    """Log probabilities of the class (last axis) for what stands in each place of the window (the other axes).
+def trained(cells: np.ndarray, n: np.ndarray, places: tuple[int, ...], k: int, width: int = 32, rounds: int = 150, rate: float = 0.05, seed: int = 5) -> tuple[Network, float]:
+    """The network for ``k`` classes in windows of ``places``, and its perplexity on what it is trained on.
 
-    The network is trained on ``counts`` of that shape; its perplexity on them comes second.
+    ``cells`` (in order, context * k + class) were counted ``n`` times. Contexts that don't occur add nothing to the
+    gradient; the others pass by :data:`SEEN` at a time, so beside the counts little is held.
     """
-    *places, k = counts.shape
-    n = counts.reshape(-1, k)
-    at = np.flatnonzero(n.any(1))  # contexts that occur; the others add nothing to the gradient
-    n = n[at].astype(np.float32)
-    seen = n.sum(1, keepdims=True)
-    total = float(seen.sum(dtype=float))
+    at, row = np.unique(cells // k, return_inverse=True)
+    row, c, n = row.astype(np.int32), (cells % k).astype(np.int16 if k < 1 << 15 else np.int32), n.astype(np.float32)
+    starts = np.searchsorted(row, np.arange(0, len(at) + SEEN, SEEN))
+    seen = np.bincount(row, n, len(at)).astype(np.float32)[:, None]
+    total = float(n.sum(dtype=float))
     rng = np.random.default_rng(seed)
     p = {i: rng.normal(0, 0.1, (size, width)) for i, size in enumerate(places)}
-    p |= {"b": np.zeros(width), "w": rng.normal(0, 0.1, (width, k)), "c": np.log((n.sum(0, dtype=float) + 1) / (total + k))}
+    p |= {"b": np.zeros(width), "w": rng.normal(0, 0.1, (width, k)), "c": np.log((np.bincount(c, n, k) + 1) / (total + k))}
     p = {a: x.astype(np.float32) for a, x in p.items()}
     m, v = {a: np.zeros_like(x) for a, x in p.items()}, {a: np.zeros_like(x) for a, x in p.items()}
-    one_hot = [np.equal.outer(np.arange(size), x).astype(np.float32) for size, x in zip(places, np.unravel_index(at, places))]
+    net = Network(places, k, p)
 
-    def forward(context):
-        h = np.tanh(sum(p[i][x] for i, x in enumerate(np.unravel_index(context, places))) + p["b"])
-        z = h @ p["w"] + p["c"]
-        z -= z.max(1, keepdims=True)
-        return h, z - np.log(np.exp(z).sum(1, keepdims=True))
+    def passes():
+        """The contexts, their counts' place, and the inner and outer layers, some contexts at a time."""
+        for i in range(0, len(at), SEEN):
+            here = slice(starts[i // SEEN], starts[i // SEEN + 1])
+            context = at[i : i + SEEN]
+            h = net.inner(context)
+            yield context, i, (row[here] - i, c[here]), n[here], h, net.outer(h)
 
     for t in range(1, rounds + 1 if total else 1):
-        h, logs = forward(at)
-        d = (np.exp(logs) * seen - n) / np.float32(total)
-        dh = (d @ p["w"].T) * (1 - h * h)
-        grad = {"w": h.T @ d, "c": d.sum(0), "b": dh.sum(0), **{i: x @ dh for i, x in enumerate(one_hot)}}
+        grad = {a: np.zeros_like(x) for a, x in p.items()}
+        for context, i, counted, times, h, logs in passes():
+            d = np.exp(logs) * seen[i : i + SEEN]
+            d[counted] -= times
+            d /= np.float32(total)
+            dh = (d @ p["w"].T) * (1 - h * h)
+            grad["w"] += h.T @ d
+            grad["c"] += d.sum(0)
+            grad["b"] += dh.sum(0)
+            for place, x in enumerate(np.unravel_index(context, places)):
+                grad[place] += np.equal.outer(np.arange(places[place]), x).astype(np.float32) @ dh
         for a in p:
             m[a] = 0.9 * m[a] + 0.1 * grad[a]
             v[a] = 0.999 * v[a] + 0.001 * grad[a] ** 2
             p[a] = p[a] - rate * (m[a] / (1 - 0.9**t)) / (np.sqrt(v[a] / (1 - 0.999**t)) + 1e-9)
             p[a] = p[a].astype(np.float32)
-    _, logs = forward(np.arange(int(np.prod(places))))
-    perplexity = float(np.exp(-(n * logs[at]).sum(dtype=float) / total)) if total else 1.0
-    return logs.reshape(counts.shape), perplexity
+    lost = -sum(float((times * logs[counted]).sum(dtype=float)) for _, _, counted, times, _, logs in passes())
+    return net, float(np.exp(lost / total)) if total else 1.0
+
+
+def train_network(counts: np.ndarray, **how) -> tuple[np.ndarray, float]:
+    """Log probabilities of the class (last axis) for what stands in each place of the window (the other axes).
+
+    The network is trained on ``counts`` of that shape (:func:`trained`); its perplexity on them comes second.
+    """
+    *places, k = counts.shape
+    cells = np.flatnonzero(counts)
+    net, perplexity = trained(cells, counts.reshape(-1)[cells], tuple(places), k, **how)
+    return net.logs(np.arange(int(np.prod(places)))).reshape(counts.shape), perplexity
 
 
 def grown(n_classes: int, own: int, tokens: int) -> tuple[int, int]:
@@ -273,10 +369,10 @@ def fit(docs: DataFrame, vocabulary: int = 50_000, n_classes: int = 64, own: int
     within = np.log(n / class_sum[classes]) if len(h) else np.empty(0)
     classes, within = classes[by_hash], within[by_hash]
     side = n_classes + 1
-    size = (side * (n_groups + 1)) ** 2 * n_classes
-    cells = _gathered(window_counts(docs, words, classes, n_classes, groups), size)
-    log_p, perplexity = train_network(cells.reshape(side, side, n_groups + 1, n_groups + 1, n_classes))
-    return WindowModel(words, classes, within, outside, log_p.astype(np.float32), groups, n_classes, perplexity, rare)
+    places = (side, side, n_groups + 1, n_groups + 1)
+    cells, times = _gathered(window_counts(docs, words, classes, n_classes, groups), int(np.prod(places)) * n_classes)
+    network, perplexity = trained(cells, times, places, n_classes)
+    return WindowModel(words, classes, within, outside, network, groups, n_classes, perplexity, rare)
 
 
 def score(docs: DataFrame, model: WindowModel) -> DataFrame:
@@ -285,7 +381,7 @@ def score(docs: DataFrame, model: WindowModel) -> DataFrame:
     A word outside the vocabulary has its count over all tokens outside; one that was never counted is taken as counted once.
     """
     words, classes, within, outside, groups, n_classes = model.words, model.classes, model.within, model.outside, model.groups, model.n_classes
-    log_p = model.log_p.reshape(-1, n_classes)
+    network = model.network
 
     def make():
         hasher = WordHasher(lower=True)
@@ -294,7 +390,7 @@ def score(docs: DataFrame, model: WindowModel) -> DataFrame:
             h, counts = hasher(batch.column(2))
             c, at = _classes_of(h, words, classes, n_classes)
             own = np.where(at >= 0, within[at] if len(within) else 0.0, outside)
-            logs = log_p[_contexts(c, counts, n_classes, groups), c].astype(float) + own
+            logs = network.log_of(_contexts(c, counts, n_classes, groups), c) + own
             row = np.repeat(np.arange(len(counts)), counts)
             total = np.bincount(row, logs, len(counts))
             missing = np.bincount(row, at < 0, len(counts)).astype(np.int64)

@@ -212,6 +212,38 @@ def test_both_sides_tell_more_than_one(spark):
     assert model.perplexity < 0.95 * pseudo_likelihood.train_network(left)[1]
 
 
+def test_tallies_in_bounded_memory(spark, monkeypatch):
+    """Few slots and small rounds give the same counts, whatever must make room for what."""
+    monkeypatch.setattr(pseudo_likelihood, "SLOTS", 32)
+    rng, tally, want, got = np.random.default_rng(3), pseudo_likelihood.Tally(500), Counter(), Counter()
+    for size in (0, 1, 300, 700, 50):
+        x = rng.integers(0, 500, size)
+        want.update(x.tolist())
+        for cell, n in zip(*tally.add(*np.unique(x, return_counts=True))):
+            got[int(cell)] += int(n)
+    for cell, n in zip(*tally.rest()):
+        got[int(cell)] += int(n)
+    assert got == want and len(tally.n) == 32
+    monkeypatch.setattr(pseudo_likelihood, "GATHERED", 64)
+    table = spark.createDataFrame([(int(a), int(b)) for a, b in want.items()], "cell long, n long")
+    cells, n = pseudo_likelihood._gathered(table, 500)
+    assert cells.tolist() == sorted(want) and dict(zip(cells.tolist(), n.tolist())) == want
+    assert [len(x) for x in pseudo_likelihood._gathered(table.where("false"), 500)] == [0, 0]
+
+
+def test_network_answers_by_context(monkeypatch):
+    rng = np.random.default_rng(4)
+    n = rng.poisson(0.5, (5, 6, 3))
+    whole, perplexity = pseudo_likelihood.train_network(n, rounds=5)
+    monkeypatch.setattr(pseudo_likelihood, "SEEN", 7)
+    parts, again = pseudo_likelihood.train_network(n, rounds=5)
+    assert np.allclose(whole, parts, atol=1e-4) and abs(perplexity - again) < 1e-4
+    cells = np.flatnonzero(n)
+    net, _ = pseudo_likelihood.trained(cells, n.reshape(-1)[cells], (5, 6), 3, rounds=5)
+    context, c = rng.integers(0, 30, 400), rng.integers(0, 3, 400)
+    assert np.array_equal(net.log_of(context, c), parts.reshape(30, 3)[context, c]) and len(net.log_of(context[:0], c[:0])) == 0
+
+
 def test_classes_and_vocabulary_grow(spark):
     assert pseudo_likelihood.grown(64, 40, 1000) == (64, 40) and pseudo_likelihood.grown(64, 40, 1 << 30) == (128, 80)
     docs = documents(spark, [" ".join(f"w{x} w{x}" for x in range(400))])
