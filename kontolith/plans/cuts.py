@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = "spark.checkpoint.dir"
+BY_ESTIMATE, BY_MEASURE = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
 
 
 def shared_dir(spark) -> str:
@@ -24,9 +25,21 @@ def shared_dir(spark) -> str:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a written table: computed once for all its readers, and safe from lost executors."""
+    """``df`` as a written table: computed once for all its readers, and safe from lost executors.
+
+    Only what a shuffle has measured as small is broadcast: before, Spark goes by the size of files, and a table of like
+    texts is many times larger in memory, so all documents would go through the driver.
+    """
+    conf = df.sparkSession.conf
     place = f"{shared_dir(df.sparkSession)}/kontolith-ledger/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(place)
+    estimate, measure = conf.get(BY_ESTIMATE), conf.get(BY_MEASURE, None)
+    conf.set(BY_MEASURE, measure or estimate)
+    conf.set(BY_ESTIMATE, "-1")
+    try:
+        df.write.parquet(place)
+    finally:
+        conf.set(BY_ESTIMATE, estimate)
+        conf.set(BY_MEASURE, measure) if measure else conf.unset(BY_MEASURE)
     return df.sparkSession.read.schema(df.schema).parquet(place)
 
 

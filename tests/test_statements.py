@@ -4,7 +4,9 @@ from datetime import date
 from decimal import Decimal as D
 
 import pytest
+from pyspark.sql import functions as F
 
+from kontolith.plans.cuts import cut
 from kontolith.plans.statements import analysed, as_bookings, parse_statements, sheets
 from kontolith.schemas import STATEMENT_TEXT
 
@@ -103,3 +105,20 @@ def test_full_run_and_sheets(spark):
     assert full["Fixkosten"].count() == 7 and full["Konsum_Summe"].count() == 2
     assert full["Wiederkehrend"].first().empfaenger == "keine wiederkehrenden Zahlungen gefunden"
     assert {r.konto for r in masked["Fixkosten"].collect()} == {"****5678"} and "_Daten" not in masked
+
+
+def test_cut_broadcasts_by_measure_only(spark):
+    """Like rows are small as a file and large in memory: the file's size must not send them through the driver."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    left, right = (cut(spark.range(20_000).withColumn(c, F.lit("x" * 400)), c) for c in ("a", "b"))
+    was = spark.conf.get(key)
+    spark.conf.set(key, "1m")  # the file has some 100 kB, the rows 8 MB
+    try:
+        assert cut(left.join(right, "id"), "both").count() == 20_000
+        assert spark.conf.get(key) == "1m" and spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) is None
+    finally:
+        spark.conf.set(key, was)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    plan = next(p for k in range(runs.size() - 1, -1, -1) if "Join" in (p := runs.apply(k).physicalPlanDescription()))
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
