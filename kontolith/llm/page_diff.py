@@ -2,9 +2,10 @@
 
 Every page becomes a sequence of text lines, one per block element, each with its place in the page's structure. Pages of
 a host are ordered by URL path; each is paired with its nearest neighbours, those that share most leading path segments,
-and their line sequences (as hashes) are aligned by longest common subsequence. A line that is shared with two neighbours
-(with one, if there is but one) is template text and is deleted; neighbours that are copies of the page tell nothing.
-Lines inside a recognised article or main part are kept, shared or not: copies and quotations must stay whole.
+and their line sequences (as hashes) are aligned by longest common subsequence, on every page. A line that is shared with two
+neighbours (with one, if there is but one) is template text and is deleted; neighbours that are copies tell nothing.
+The main text of a page, its largest recognised article or main part, is kept, shared or not: copies and quotations must
+stay whole. Of other articles or main parts of the page, those go of which every line is template (teasers, for one).
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments go by their elements and names.
 """
 
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kontolith.llm.common import cut, map_batches
+from kontolith.llm.common import cut, map_batches, split_by_keys
 
 #: HTML element names by their role here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -68,19 +69,20 @@ def _attributes(text: str) -> tuple[frozenset[str], bool, str]:
     return frozenset(words), hidden, role
 
 
-def page_lines(html: str | None) -> list[tuple[str, int, bool]]:
-    """``(line, zone, gone)`` per non-empty block: zone 2 inside an article, 1 inside a main part, 0 elsewhere."""
-    out: list[tuple[str, int, bool]] = []
-    stack: list[tuple[str, int, bool]] = []  # name, zone, gone
+def page_lines(html: str | None) -> list[tuple[str, int, bool, int]]:
+    """``(line, zone, gone, part)`` per non-empty block: zone 2 inside an article, 1 inside a main part, 0 elsewhere; the
+    number of that article or main part on the page, from 1, else 0."""
+    out: list[tuple[str, int, bool, int]] = []
+    stack: list[tuple[str, int, bool, int]] = []  # name, zone, gone, part
     held: list[str] = []
-    zone, gone = 0, False
+    zone, gone, part, parts = 0, False, 0, 0
 
     def flush():
         if held:
             line = " ".join(entities.unescape("".join(held)).split())
             held.clear()
             if line:
-                out.append((line, zone, gone))
+                out.append((line, zone, gone, part))
 
     text = html or ""
     pos, n = 0, len(text)
@@ -99,7 +101,7 @@ def page_lines(html: str | None) -> list[tuple[str, int, bool]]:
                     if any(x[0] in BLOCK for x in stack[k:]) or name in GONE:
                         flush()
                     del stack[k:]
-                    zone, gone = (stack[-1][1], stack[-1][2]) if stack else (0, False)
+                    zone, gone, part = stack[-1][1:] if stack else (0, False, 0)
                     break
                 if name not in BLOCK and stack[k][0] in BLOCK and stack[k][0] != "p":
                     break  # an inline end tag doesn't close a block
@@ -118,7 +120,7 @@ def page_lines(html: str | None) -> list[tuple[str, int, bool]]:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == "p" or name == stack[k][0] == "li":
                         del stack[k:]
-                        zone, gone = (stack[-1][1], stack[-1][2]) if stack else (0, False)
+                        zone, gone, part = stack[-1][1:] if stack else (0, False, 0)
                         break
                     if stack[k][0] in BLOCK:
                         break
@@ -138,7 +140,10 @@ def page_lines(html: str | None) -> list[tuple[str, int, bool]]:
                     z = max(z, 1)
         if g and not gone:
             flush()
-        stack.append((name, z, g))
+        if z > zone:
+            parts += 1
+            part = parts
+        stack.append((name, z, g, part))
         zone, gone = z, g
     flush()
     return out
@@ -200,26 +205,41 @@ def common_lines(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
     return [i for i, _ in pairs], [j for _, j in pairs]
 
 
+def candidates(lines: list[tuple[str, int, bool, int]]) -> tuple[list[str], list[int], list[int], list[int]]:
+    """What structure leaves of a page: its articles' lines, without one its main parts', without both all that isn't gone.
+
+    The lines' texts, positions and parts; and the positions that make up the main text (the part of most characters, of
+    equal ones the first), without a part none.
+    """
+    best = max((z for _, z, gone, _ in lines if not gone), default=0)
+    texts, places, parts, size = [], [], [], Counter()
+    for k, (text, zone, gone, part) in enumerate(lines):
+        if not gone and zone >= best:
+            texts.append(text)
+            places.append(k)
+            parts.append(part)
+            size[part] += len(text)
+    core = max(size, key=lambda p: (size[p], -p)) if best else None
+    return texts, places, parts, [k for k, p in zip(places, parts, strict=True) if p == core]
+
+
 def _parsed(pages: DataFrame) -> DataFrame:
-    """Per page its line hashes and its text, if structure tells its main part, or else its lines and their positions."""
+    """Per page the hashes of all its lines, and its :func:`candidates`."""
 
     def make():
         def step(batch: pa.RecordBatch):
-            hashes, texts, lines, places = [], [], [], []
+            hashes, found = [], []
             for html in batch.column(5).to_pylist():
                 own = page_lines(html)
                 hashes.append([xxhash.xxh3_64_intdigest(x[0]) - (1 << 63) for x in own])
-                best = max((z for _, z, gone in own if not gone), default=0)
-                stay = [(k, t) for k, (t, z, gone) in enumerate(own) if not gone and z >= best]
-                texts.append("\n".join(t for _, t in stay) if best else None)
-                lines.append([] if best else [t for _, t in stay])
-                places.append([] if best else [k for k, _ in stay])
-            cols = [*batch.columns[:5], pa.array(hashes, pa.list_(pa.int64())), pa.array(texts, pa.string()), pa.array(lines, pa.list_(pa.string())), pa.array(places, pa.list_(pa.int32()))]
-            return pa.RecordBatch.from_arrays(cols, ["page_id", "url", "rid", "host", "path", "hashes", "main", "lines", "places"])
+                found.append(candidates(own))
+            texts, *numbers = zip(*found, strict=True) if found else [()] * 4
+            cols = [*batch.columns[:5], pa.array(hashes, pa.list_(pa.int64())), pa.array(texts, pa.list_(pa.string())), *(pa.array(x, pa.list_(pa.int32())) for x in numbers)]
+            return pa.RecordBatch.from_arrays(cols, ["page_id", "url", "rid", "host", "path", "hashes", "lines", "places", "parts", "core"])
 
         return step
 
-    schema = "page_id long, url string, rid long, host string, path string, hashes array<long>, main string, lines array<string>, places array<int>"
+    schema = "page_id long, url string, rid long, host string, path string, hashes array<long>, lines array<string>, places array<int>, parts array<int>, core array<int>"
     return map_batches(pages.select("page_id", "url", "rid", "host", "path", "html"), make, schema)
 
 
@@ -245,58 +265,82 @@ def neighbours(slim: DataFrame, most: int = 3) -> DataFrame:
     return near.groupBy("rid").agg(F.transform(F.slice(F.sort_array(F.collect_list(order)), 1, most), lambda x: x["mate"]).alias("mates"))
 
 
-def template_lines(own: list[int], others: list[list[int]]) -> list[int]:
+def template_lines(own: list[int], others: list[list[int]], core: list[int] | None = None) -> list[int]:
     """Positions of ``own``'s lines that longest common subsequences share with two of ``others``, or with the only one.
 
-    Others that share all lines of ``own`` are copies and tell nothing.
+    Others that share all lines of ``own`` are copies and tell nothing. If the main text's positions ``core`` are known,
+    others that share all of these are copies, and the only one that tells is not enough.
     """
     votes, telling = Counter(), 0
     for other in others:
         shared = common_lines(own, other)[0]
-        if len(shared) < len(own):
+        if not set(shared).issuperset(core or range(len(own))):
             telling += 1
             votes.update(shared)
-    return sorted(k for k, n in votes.items() if n >= min(2, telling))
+    return sorted(k for k, n in votes.items() if n >= (2 if core else min(2, telling)))
 
 
 def shared_positions(slim: DataFrame, mates: DataFrame) -> DataFrame:
-    """``(rid, shared)``: positions of a page's template lines by its mates, for the pages of which structure tells no main part."""
-    lines = slim.select("rid", "hashes").dropDuplicates(["rid"])
-    wanted = slim.where("main is null").select("rid").distinct()
-    pairs = mates.join(wanted, "rid").select("rid", F.explode("mates").alias("mate")).join(lines.select(F.col("rid").alias("mate"), F.col("hashes").alias("other")), "mate")
+    """``(rid, shared)``: positions of a page's template lines by its mates, for every page that has such lines."""
+    lines = slim.select("rid", "hashes", "core").dropDuplicates(["rid"])
+    pairs = mates.select("rid", F.explode("mates").alias("mate")).join(lines.select(F.col("rid").alias("mate"), F.col("hashes").alias("other")), "mate")
     groups = pairs.groupBy("rid").agg(F.sort_array(F.collect_list("other")).alias("others")).join(lines, "rid")  # three others at most
 
     def make():
         def step(batch: pa.RecordBatch):
-            found = [template_lines(a, b) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            found = [template_lines(*x) for x in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)]
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["rid", "shared"])
 
         return step
 
-    return map_batches(groups.select("rid", "hashes", "others"), make, "rid long, shared array<int>")
+    return map_batches(groups.select("rid", "hashes", "others", "core"), make, "rid long, shared array<int>").where(F.size("shared") > 0)
+
+
+def kept_lines(places: list[int], parts: list[int], core: list[int], shared: set[int]) -> list[int]:
+    """Which candidates are the page's text: those that aren't template lines; with a main text, it and each other part of which a line isn't."""
+    if not core:
+        return [k for k, at in enumerate(places) if at not in shared]
+    own = {p for at, p in zip(places, parts, strict=True) if at not in shared or at == core[0]}
+    return [k for k, p in enumerate(parts) if p in own]
+
 
+def choose_lines(lines: list[tuple[str, int, bool, int]], shared: set[int]) -> str:
+    """A page's text: its candidates by structure less what its template lines ``shared`` take away."""
+    texts, *numbers = candidates(lines)
+    return "\n".join(texts[k] for k in kept_lines(*numbers, shared))
+
+
+def _less_template(pages: DataFrame) -> DataFrame:
+    """``page_id, url, text`` of pages with their template lines ``shared``, and how many these are."""
+
+    def make():
+        def step(batch: pa.RecordBatch):
+            texts, places, parts, cores, shared = (c.to_pylist() for c in batch.columns[2:])
+            left = ["\n".join(t[k] for k in kept_lines(*numbers, set(gone))) for t, *numbers, gone in zip(texts, places, parts, cores, shared, strict=True)]
+            return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(left, pa.string()), pa.array([not x for x in cores], pa.bool_()), pa.array(map(len, shared), pa.int64())], ["page_id", "url", "text", "open", "n_template"])
+
+        return step
 
-def choose_lines(lines: list[tuple[str, int, bool]], shared: set[int]) -> str:
-    """The main text: an article's lines, without one the main part's; without both the page's, less the template lines ``shared``."""
-    best = max((z for _, z, gone in lines if not gone), default=0)
-    return "\n".join(t for k, (t, z, gone) in enumerate(lines) if not gone and z >= best and (best > 0 or k not in shared))
+    whole = pages.select("page_id", "url", "lines", "places", "parts", "core", F.coalesce("shared", F.array().cast("array<int>")))
+    return map_batches(whole, make, "page_id long, url string, text string, open boolean, n_template long")
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
-    """``page_id, url, text, n_chars, n_shared`` per row of ``pages`` (``page_id, url, html``; other columns are ignored).
+    """``page_id, url, text, n_chars, n_shared, n_template`` per row of ``pages`` (``page_id, url, html``; other columns are ignored).
 
-    Null html is empty and gives an empty text. Pages without a host (null or odd urls) have no mates and keep all lines
-    that structure leaves. Rows that repeat are extracted each; very long pages are parsed and aligned whole; an empty
-    table gives no rows. ``n_shared`` counts the template lines that differencing found, null where structure tells the
-    main part; the main part then stays whole, and the page serves as a neighbour only.
+    Every page is aligned with its neighbours; structure says where the template lines that this finds are text all the
+    same. Null html is empty and gives an empty text. Pages without a host (null or odd urls) have no mates and keep all
+    lines that structure leaves. Rows that repeat are extracted each; very long pages are parsed and aligned whole; an
+    empty table gives no rows. ``n_template`` counts a page's template lines, wherever they are; ``n_shared`` too, but it
+    is null for pages with a main text, in which they stay.
     """
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     keyed = keyed.withColumn("rid", F.xxhash64("page_id", "url", "html")).withColumn("host", F.when(host != "", host)).withColumn("path", path)
     parsed = cut(_parsed(keyed), "page-lines", 500)  # each page is parsed once
-    marks = cut(shared_positions(parsed, neighbours(parsed)), "shared-lines")  # of the pages that structure leaves open
-    told = parsed.where("main is not null").select("page_id", "url", F.col("main").alias("text"), F.lit(None).cast("long").alias("n_shared"))
-    left = F.filter("lines", lambda t, k: ~F.array_contains(F.coalesce("shared", F.array().cast("array<int>")), F.get("places", k)))
-    open_ = parsed.where("main is null").join(marks, "rid", "left").select("page_id", "url", F.array_join(left, "\n").alias("text"), F.coalesce(F.size("shared"), F.lit(0)).cast("long").alias("n_shared"))
-    return told.union(open_).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared")
+    marks = cut(shared_positions(parsed, neighbours(parsed)), "shared-lines", 500)
+    maybe, clean = split_by_keys(parsed, marks, ["rid"])  # only pages with template lines are shuffled
+    marked = _less_template(maybe.join(marks.hint("merge"), "rid", "left"))
+    whole = clean.select("page_id", "url", F.array_join("lines", "\n").alias("text"), (F.size("core") == 0).alias("open"), F.lit(0).cast("long").alias("n_template"))
+    return marked.union(whole).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), F.when(F.col("open"), F.col("n_template")).alias("n_shared"), "n_template")

@@ -652,6 +652,23 @@ def test_copies_and_quotations_in_a_main_part_stay(spark, tag):
     assert all(r.n_shared is None for r in got.values())
 
 
+@pytest.mark.parametrize("part", ["article", "section class=story"])
+def test_differencing_decides_between_parts(spark, part):
+    """Every page is aligned: parts of which all is template go, the largest part and all parts with a line of their own stay."""
+    block = lambda *lines: f"<{part}>{''.join(f'<p>{x}</p>' for x in lines)}</{part.split()[0]}>"
+    page = lambda *parts: f"<body><div>Home page of us</div>{''.join(parts)}<footer>End</footer></body>"
+    teaser, long = block("Read this too", "Now"), "a text of some length that is in three pages "
+    rows = [(k, f"http://h/a/{k}", page(block(f"text {k} of some length", "said before"), teaser, block("Read this too", f"only {k}"))) for k in (1, 2, 3)]
+    rows += [(k, f"http://q/a/{k}", page(block(long, long), block(f"other {k}"))) for k in (4, 5, 6)]  # near copies of one main text
+    rows += [(k, f"http://z/a/{k}", page(block(f"text {k} of some length"), teaser)) for k in (7, 8)]  # one neighbour alone can't tell
+    got = {r.page_id: r for r in page_diff.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in (1, 2, 3):
+        assert got[k].text == f"text {k} of some length\nsaid before\nRead this too\nonly {k}" and got[k].n_template == 6
+    assert all(got[k].text == f"{long.strip()}\n{long.strip()}\nother {k}" and got[k].n_template == 0 for k in (4, 5, 6))
+    assert all(got[k].text == f"text {k} of some length\nRead this too\nNow" for k in (7, 8))
+    assert all(r.n_shared is None and r.n_chars == len(r.text) for r in got.values())
+
+
 def test_alignment_of_many_equal_lines():
     """Linear memory: thousands of equal lines between others."""
     rng = np.random.default_rng(14)
