@@ -87,6 +87,14 @@ def as_bytes(column: pa.Array) -> list:
     return column.cast(pa.binary()).to_pylist()
 
 
+def as_texts(column: pa.Array) -> list:
+    """A string column as Python strings (None stays None). Spark's strings hold any bytes; those that are not UTF-8 become U+FFFD."""
+    try:
+        return column.to_pylist()
+    except UnicodeDecodeError:
+        return [t if t is None else t.decode("utf-8", "replace") for t in as_bytes(column)]
+
+
 def struct_field(column: pa.StructArray, name: str) -> pa.Array:
     """A field of a struct column as strings, by position, so that other fields may have any names."""
     return column.field([f.name for f in column.type].index(name)).cast(pa.string())

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kontolith.llm.common import cut, drop_cut, map_batches
+from kontolith.llm.common import as_texts, cut, drop_cut, map_batches
 
 #: Pieces that one task packs at most, on average.
 GROUP_PIECES = 3000
@@ -116,7 +116,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, size: in
         def one(batch: pa.RecordBatch):
             nonlocal salt
             rows = []
-            for doc, own_ids in zip(batch.column(0).to_pylist(), chunk_ids(tokenizer_path).of_texts(batch.column(1).to_pylist()), strict=True):
+            for doc, own_ids in zip(batch.column(0).to_pylist(), chunk_ids(tokenizer_path).of_texts(as_texts(batch.column(1))), strict=True):
                 ids = own_ids + tail
                 for piece, at in enumerate(range(0, len(ids), step_bytes)):
                     own = ids[at : at + step_bytes]

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from kontolith.llm.common import BoundedCache, cut, drop_cut, fold_id, map_batches, struct_field
+from kontolith.llm.common import BoundedCache, as_texts, cut, drop_cut, fold_id, map_batches, struct_field
 
 #: Characters stripped from a word's ends, lengths of the word beginnings.
 EDGES = ".,;:!?\"'()[]{}<>*#$%&|_-+=~/\\"
@@ -108,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 6000, max_unlabe
                 yield one(whole.slice(at, 200))
 
         def one(batch: pa.RecordBatch):
-            sets = [np.fromiter(text_features(t, cache), np.int64) for t in batch.column(0).to_pylist()]
+            sets = [np.fromiter(text_features(t, cache), np.int64) for t in as_texts(batch.column(0))]
             return pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(sets, pa.list_(pa.int64()))], ["p", "u", "features"])
 
         return step
@@ -154,7 +154,7 @@ def text_scores(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> DataF
 
         def one(batch: pa.RecordBatch):
             texts = struct_field(batch.column(0), "text") if keep == ["_row"] else batch.column(len(keep))
-            risks = np.array([bias + sum(weights[f] for f in sorted(text_features(t, cache))) for t in texts.to_pylist()], float)
+            risks = np.array([bias + sum(weights[f] for f in sorted(text_features(t, cache))) for t in as_texts(texts)], float)
             return pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(0.5 * (1 + np.tanh(risks / 2)))], [*keep, "score"])
 
         return step

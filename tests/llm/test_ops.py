@@ -756,6 +756,26 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r.doc_id for r in now.collect()} == clean and corpus_pipeline.run(spark, str(tmp_path)).count() == now.count()
 
 
+def test_stages_take_any_bytes(spark, tmp_path):
+    """Texts that are not UTF-8 (cut within a character, say) pass every stage and count as with U+FFFD in their place."""
+    import pyarrow.parquet as pq
+
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = np.random.default_rng(16)
+    texts = [(prose(rng, 60, 900) + " Grubler Grublung Grublo" * (i % 9 == 0)).encode() for i in range(200)]
+    texts[:4] = [b"\xff\xfe " + texts[0], texts[1] + b" cut \xe2\x82", b"\xed\xa0\x80 " + texts[2], None]
+    for name, column in (("raw", pa.array(texts, pa.binary()).view(pa.string())), ("clean", pa.array([t if t is None else t.decode("utf-8", "replace") for t in texts]))):
+        (tmp_path / name).mkdir()
+        pq.write_table(pa.table({"doc_id": range(200), "text": column, "source": ["s"] * 200}), f"{tmp_path}/{name}/documents.parquet")
+        pq.write_table(pa.table({"doc_id": range(200), "quality": [1] * 200, "toxic": [int(i % 9 == 0) for i in range(200)]}), f"{tmp_path}/{name}/labels.parquet")
+    raw, clean = (spark.read.parquet(f"{tmp_path}/{name}/documents.parquet") for name in ("raw", "clean"))
+    score = lambda docs, name: {tuple(r) for r in toxicity.toxicity_scores(docs, spark.read.parquet(f"{tmp_path}/{name}/labels.parquet")).collect()}
+    assert score(raw, "raw") == score(clean, "clean")
+    pieces = lambda docs: {tuple(r) for r in packing.token_pieces(docs, WORD_BPE).drop("salt").collect()}
+    assert pieces(raw) == pieces(clean)
+    assert {0, 3}.isdisjoint(kept := {r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/raw").collect()}) and {1, 2} <= kept
+
+
 def test_most_frequent_is_bounded(spark):
     from kontolith.llm.common import most_frequent
 
