@@ -95,6 +95,13 @@ def as_texts(column: pa.Array) -> list:
         return [t if t is None else t.decode("utf-8", "replace") for t in as_bytes(column)]
 
 
+def each_text(column: pa.Array) -> Iterator[str | None]:
+    """The texts of :func:`as_texts` one after the other, so that no more than one is held as a Python string."""
+    for t in column.cast(pa.binary()):
+        t = t.as_py()
+        yield t if t is None else t.decode("utf-8", "replace")
+
+
 def struct_field(column: pa.StructArray, name: str) -> pa.Array:
     """A field of a struct column as strings, by position, so that other fields may have any names."""
     return column.field([f.name for f in column.type].index(name)).cast(pa.string())

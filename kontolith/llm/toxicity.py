@@ -11,20 +11,26 @@ a hash of the id; scoring covers every text.
 
 from __future__ import annotations
 
+import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from kontolith.llm.common import BoundedCache, as_texts, cut, drop_cut, fold_id, map_batches, struct_field
+from kontolith.llm.common import BoundedCache, cut, each_text, drop_cut, fold_id, map_batches, struct_field
 
 #: Characters stripped from a word's ends, lengths of the word beginnings.
 EDGES = ".,;:!?\"'()[]{}<>*#$%&|_-+=~/\\"
 STARTS = (4, 5, 6)
+#: Characters of a text that are looked at at once; so no text, however long, is held as words as a whole.
+BLOCK = 1 << 18
+SPACE = re.compile(r"\s")
 
 
 def word_features(word: str) -> tuple[int, ...]:
@@ -35,14 +41,44 @@ def word_features(word: str) -> tuple[int, ...]:
     return tuple({zlib.crc32(f"{n}:{w[:n]}".encode()) for n in STARTS if len(w) >= n} | {zlib.crc32(f"w:{w}".encode())})
 
 
+def block_features(text: str | None, cache: dict) -> Iterator[set[int]]:
+    """The features of each block of a text; blocks end at white space."""
+    at, n = 0, len(text or "")
+    while at < n:
+        gap = SPACE.search(text, at + BLOCK) if n - at > BLOCK else None
+        to = gap.start() if gap else n
+        found: set[int] = set()
+        for f in map(cache.__getitem__, set(text[at:to].lower().split())):
+            found.update(f)
+        yield found
+        at = to
+
+
 def text_features(text: str | None, cache: dict) -> set[int]:
     found: set[int] = set()
-    if text:
-        for f in map(cache.__getitem__, set(text.lower().split())):
-            found.update(f)
+    for f in block_features(text, cache):
+        found |= f
     return found
 
 
+def feature_array(text: str | None, cache: dict) -> np.ndarray:
+    """The features in order, in 8 bytes each: of long texts with many words too many for a set of Python's numbers."""
+    parts = [np.fromiter(f, np.int64, len(f)) for f in block_features(text, cache)]
+    return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.int64)
+
+
+def numbers_of(features: pa.ListArray, wanted: np.ndarray) -> pa.ListArray:
+    """Each row's places in ``wanted`` (in order) of those of its features that it holds; null rows have none."""
+    flat = features.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+    row = np.repeat(np.arange(len(features), dtype=np.int32), pc.list_value_length(features).fill_null(0).to_numpy(zero_copy_only=False))
+    at = np.searchsorted(wanted, flat)
+    held = np.zeros(len(flat), bool)
+    inside = at < len(wanted)
+    held[inside] = wanted[at[inside]] == flat[inside]
+    ends = np.cumsum(np.bincount(row[held], minlength=len(features)))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(at[held], pa.int64()))
+
+
 @dataclass
 class ToxicityModel:
     weights: dict[int, float]
@@ -108,8 +144,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 6000, max_unlabe
                 yield one(whole.slice(at, 200))
 
         def one(batch: pa.RecordBatch):
-            sets = [np.fromiter(text_features(t, cache), np.int64) for t in as_texts(batch.column(0))]
-            return pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(sets, pa.list_(pa.int64()))], ["p", "u", "features"])
+            found = [feature_array(t, cache) for t in each_text(batch.column(0))]
+            return pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(found, pa.list_(pa.int64()))], ["p", "u", "features"])
 
         return step
 
@@ -127,9 +163,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 6000, max_unlabe
     wanted = np.array(picked, np.int64)
 
     def narrow():
-        def step(batch: pa.RecordBatch):
-            rows = [np.searchsorted(wanted, g[np.isin(g, wanted)]) for g in (np.array(f or [], np.int64) for f in batch.column(2).to_pylist())]
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.int64()))], ["p", "u", "features"])
+        def step(whole: pa.RecordBatch):
+            for at in range(0, whole.num_rows, 200):
+                batch = whole.slice(at, 200)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), numbers_of(batch.column(2), wanted)], ["p", "u", "features"])
 
         return step
 
@@ -154,7 +191,7 @@ def text_scores(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> DataF
 
         def one(batch: pa.RecordBatch):
             texts = struct_field(batch.column(0), "text") if keep == ["_row"] else batch.column(len(keep))
-            risks = np.array([bias + sum(weights[f] for f in sorted(text_features(t, cache))) for t in as_texts(texts)], float)
+            risks = np.array([bias + sum(weights[f] for f in sorted(text_features(t, cache))) for t in each_text(texts)], float)
             return pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(0.5 * (1 + np.tanh(risks / 2)))], [*keep, "score"])
 
         return step

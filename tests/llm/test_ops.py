@@ -17,6 +17,7 @@ pytest.importorskip("kontolith.llm")
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from kontolith.llm import embedding_forest, line_spread, packing, page_diff, partenum, pseudo_likelihood, quality_rules, sentencepiece_lattice, toxicity, warc, words  # noqa: E402
+from kontolith.llm.common import BoundedCache  # noqa: E402
 from kontolith.llm.components import connected_components  # noqa: E402
 
 WORD_BPE, PIECES = str(public_tokenizers.path("word_bpe_49k.json")), str(public_tokenizers.path("piece_bpe_32k.model"))
@@ -812,3 +813,28 @@ def test_risk_without_features():
     none = np.empty(0, np.int64)
     w, b = toxicity.nn_pu_fit([none] * 3, [none] * 9, 0, 0.2)
     assert len(w) == 0 and np.isfinite(b)
+
+
+def test_toxicity_memory_of_long_texts():
+    import tracemalloc
+
+    text = " ".join("Wort%d" % i for i in range(600_000)) + "\u2003Ende"
+    tracemalloc.start()
+    found = toxicity.text_features(text, BoundedCache(lambda w: (int(w[4:]),) if w[4:] in ("7", "300000", "599999") else (-1,) if w == "ende" else (), 1000))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == {7, 300_000, 599_999, -1}
+    assert peak < 2 * len(text)
+
+
+def test_toxicity_features_in_blocks(monkeypatch):
+    text, cache = "Eins ZWEI drei\u00a0vierundzwanzig " * 9 + "x" * 400 + "\nfuenf", BoundedCache(toxicity.word_features)
+    whole = toxicity.text_features(text, cache)
+    monkeypatch.setattr(toxicity, "BLOCK", 10)
+    assert toxicity.text_features(text, cache) == whole and toxicity.feature_array(text, cache).tolist() == sorted(whole)
+    assert toxicity.text_features(None, cache) == set() == set(toxicity.feature_array("", cache))
+    wanted, rows = np.array([2, 5, 9, 4_000_000_000]), [[5, 1, 9], None, [], [4_000_000_000, 4_000_000_001], [2]]
+    listed = pa.array(rows, pa.list_(pa.int64()))
+    want = [[1, 2], [], [], [3], [0]]
+    assert toxicity.numbers_of(listed, wanted).to_pylist() == want and toxicity.numbers_of(listed.slice(2), wanted).to_pylist() == want[2:]
+    assert toxicity.numbers_of(listed, wanted[:0]).to_pylist() == [[]] * 5
